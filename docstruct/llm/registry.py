@@ -60,6 +60,13 @@ def op8_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), stated_rules(spark))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstruct.llm.decontaminate import contaminated
+
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return contaminated(docs, benchmark)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstruct.llm.toxicity import score, train
 
@@ -67,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_mixing, op3_simhash, op4_matroska, op6_warc, op7_quality, op8_urlrules, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_mixing, op3_simhash, op4_matroska, op6_warc, op7_quality, op8_urlrules, op9_decontamination, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_mixing": MIX_SQL, "op6_warc": WARC_SQL, "op8_urlrules": JUDGE_SQL}
