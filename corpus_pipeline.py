@@ -1,12 +1,49 @@
-"""The corpus pipeline: documents to token shards. Part of ``docstruct.llm``."""
+"""The corpus pipeline: documents to token shards. Part of ``docstruct.llm``.
+
+Each stage works on all that the one before it kept. The first four return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docstruct.llm import decontaminate, mixing, quality, simhash, sstable
 from docstruct.llm.common import cut
+from docstruct.llm.registry import tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from those of ``docs`` that ``labels`` marks."""
+    return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest identifier."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources; a document that it takes twice is there twice."""
+    return mixing.emit(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token shards, a row for each document of the mix."""
+    return sstable.token_shards(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", token_output),
+]
 #: Models and byte-pair merges can't be written in SQL.
 ORACLE_SQL = None
 
