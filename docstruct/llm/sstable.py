@@ -24,13 +24,13 @@ in the order of their texts' hashes; an empty table gives no shard; other column
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,53 +41,97 @@ from docstruct.llm.common import attempt_name, batch, fresh_dir, open_fs
 MAGIC = b"DSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQIIQ8sQ")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_PROBES = 64 << 10, 16, 10, 7
-#: Before a space that one of these follows, the byte-level pre-tokenizer always starts a new piece.
-_UNSAFE = re.compile(r" (?![!-~¡-ɏ])")
+#: Before a space that a printing character follows the byte-level pre-tokenizer always starts a new piece; this finds others.
+_UNSAFE = r" ([^!-~\x{A1}-\x{24F}]|\z)"
 #: Letters, then ASCII punctuation without the apostrophe: two pieces for that pre-tokenizer.
-_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_PARTS = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of all spans in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
-    """Ids of a text by a tokenizer file, with a bounded table of pieces already encoded.
+    """Ids of texts by a byte-level tokenizer file, with a bounded table of the words already encoded.
 
-    The byte-level pre-tokenizer cuts a text before each space that a printing character follows, and pieces are encoded
-    apart, so the ids of a text are those of its pieces in turn. A text with any other space is encoded in one call.
+    The pre-tokenizer cuts a text before each space that a printing character follows, and cuts letters from punctuation
+    after them; it encodes what lies between cuts apart. So the ids of a text are those of its space-separated pieces in
+    turn, and a piece's those of its letters and its tail. Distinct pieces of a batch are found by Arrow, and new words are
+    encoded many to a call: a word's first token, and no other, begins with the space. Texts with any other space are encoded
+    whole, in a call of their own.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_500_000, at_once: int = 50):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.limit, self.known, self.parts = limit, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a space
+        self.limit, self.at_once, self.words = limit, at_once, {}
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, parts = self.known, self.parts
-        if len(known) > self.limit or len(parts) > self.limit:
-            known.clear()
-            parts.clear()
-        cuts = {w: (" " + m[1], m[2]) if (m := _TAIL.fullmatch(w)) else (" " + w,) for w in pieces}
-        need = list({q for k in cuts.values() for q in k if q not in parts})
-        parts.update(zip(need, self._fresh(need), strict=True))
-        for w, k in cuts.items():
-            known[w] = b"".join([parts[q] for q in k])
-
-    def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return self._fresh([text])[0]
-        first, *rest = text.split(" ")
-        found = list(map(self.known.get, rest))
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) > self.limit:
+            self.words.clear()
+        plain = [w for w in words if "!" <= w[:1] <= "~" or "\xa1" <= w[:1] <= "\u024f"]
+        if len(plain) < len(words):
+            other = [w for w in words if not ("!" <= w[:1] <= "~" or "\xa1" <= w[:1] <= "\u024f")]
+            self.words.update(zip(other, self.whole([" " + w for w in other]), strict=True))
+        lines = [" " + " ".join(plain[i : i + self.at_once]) for i in range(0, len(plain), self.at_once)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(self.opens[ids]) * ids.itemsize).tolist() + [ids.nbytes]
+            data = ids.tobytes()
+            self.words.update(zip(plain[k * self.at_once : (k + 1) * self.at_once], [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def _table(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, a space before it."""
+        found = list(map(self.words.get, words))
         if None in found:
-            self._learn({w for w, x in zip(rest, found, strict=True) if x is None})
-            if len(self.known) > self.limit:  # only a part of the text may be known after a clearing
-                self._learn(set(rest))
-            found = [self.known[w] if w in self.known else self._fresh([" " + w])[0] for w in rest]
-        return (self._fresh([first])[0] if first else b"") + b"".join(found)
+            fresh = [i for i, x in enumerate(found) if x is None]
+            self._learn([words[i] for i in fresh])
+            for i in fresh:
+                found[i] = self.words[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array without nulls."""
+        pieces = pc.split_pattern(texts, " ")
+        bounds = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        parts = pc.extract_regex(coded.dictionary, _PARTS)
+        heads = pc.coalesce(pc.struct_field(parts, "letters"), coded.dictionary).dictionary_encode()
+        tails = pc.coalesce(pc.struct_field(parts, "tail"), "").dictionary_encode()
+        firsts = pieces.flatten().take(pa.array(bounds[:-1])).dictionary_encode()
+        words = self._table(heads.dictionary.to_pylist())
+        values = words + self.whole(tails.dictionary.to_pylist()) + self.whole(firsts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(self.dtype).itemsize
+        starts, store = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), self.dtype)
+        # each distinct piece: its letters, then its tail
+        two = np.stack([heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy().astype(np.int64) + len(words)], axis=1).ravel()
+        piece_ids = store[_spans(starts[two], sizes[two])]
+        piece_sizes = sizes[two].reshape(-1, 2).sum(axis=1)
+        # then the first pieces of texts, which no space precedes
+        first = slice(len(values) - len(firsts.dictionary), None)
+        store = np.concatenate([piece_ids, store[starts[first][0] if len(firsts.dictionary) else 0 :]])
+        code[bounds[:-1]] = firsts.indices.to_numpy() + len(piece_sizes)
+        sizes = np.concatenate([piece_sizes, sizes[first]])
+        own = sizes[code]
+        ids = store[_spans((np.cumsum(sizes) - sizes)[code], own)]
+        edges = np.append(0, np.cumsum(own))[bounds]
+        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        for i in np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)):
+            out[i] = np.frombuffer(self.whole([texts[i].as_py()])[0], self.dtype)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -264,6 +308,16 @@ class Reader:
             yield from self._entries(self._block(i))
 
 
+def parts_of(b: pa.RecordBatch, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``size`` bytes of text, or of one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 MANIFEST = "shard int, path string, docs long, ids long, bytes long, first_key binary, last_key binary"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
@@ -282,13 +336,13 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
         to, base = open_fs(out)
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if made is None:
-                    to.create_dir(base, recursive=True)
-                    sink = to.open_output_stream(f"{base}/{name}")
-                    made = Writer(sink, enc.dtype)
-                made.add(key_of(doc_id), enc.encode(text.as_py() or "") + end)
+        for part in (p for b in batches for p in parts_of(b)):
+            if made is None:
+                to.create_dir(base, recursive=True)
+                sink = to.open_output_stream(f"{base}/{name}")
+                made = Writer(sink, enc.dtype)
+            for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).fill_null("")), strict=True):
+                made.add(key_of(doc_id), ids.tobytes() + end)
         if made is not None:
             size = made.finish()
             sink.close()
