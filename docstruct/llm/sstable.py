@@ -339,7 +339,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
         for part in (p for b in batches for p in parts_of(b)):
             if made is None:
                 to.create_dir(base, recursive=True)
-                sink = to.open_output_stream(f"{base}/{name}")
+                sink = to.open_output_stream(f"{base}/{name}", compression=None)
                 made = Writer(sink, enc.dtype)
             for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).fill_null("")), strict=True):
                 made.add(key_of(doc_id), ids.tobytes() + end)

@@ -3,7 +3,7 @@
 Texts in lower case, white space made one space, give the set of their n-grams of 3 to 6 bytes, hashed to ``BUCKETS``.
 From a bounded, balanced sample (``PER_CLASS`` labelled rows of a class at most, held-out rows never) each bucket gets
 ``r = log((a + 1) / (A + 2) / ((b + 1) / (B + 2)))``, its smoothed share of toxic over that of other texts. The ``FEATURES``
-buckets of largest chi-square are kept, and logistic regression is fitted to presence times ``r``, its intercept shifted
+buckets of largest chi-square are kept, of those at ``LEAST_CHI`` or more, and logistic regression is fitted to presence times ``r``, its intercept shifted
 from the sample's class rate to that of all labels. Presence, not counts: a few words decide in long texts as in short ones.
 
 Cases: null text is empty, and an empty text scores by the intercept; repeated rows have equal scores; without labelled rows
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docstruct.llm.common import arrow_map, batch, held_out, texts
 from docstruct.llm.training import labelled_ids, labelled_texts
 
-PER_CLASS, FEATURES, LENGTHS, BITS, THRESHOLD = 2_000, 8_192, (3, 4, 5, 6), 20, 0.5
+PER_CLASS, FEATURES, LEAST_CHI, LENGTHS, BITS, THRESHOLD = 2_000, 8_192, 20.0, (3, 4, 5, 6), 20, 0.5
 BUCKETS = 1 << BITS
 _PART = 1 << 20
 
@@ -65,7 +65,7 @@ def constant(share: float) -> Model:
     return Model(np.zeros(BUCKETS, np.int16), np.zeros(1), float(np.log(share / (1 - share))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, share: float, features: int = FEATURES, rounds: int = 300, l2: float = 1e-3) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, share: float, features: int = FEATURES, least: float = LEAST_CHI, rounds: int = 300, l2: float = 1e-3) -> Model:
     """From each text's distinct buckets, its label, and the share of toxic rows to expect."""
     n1 = int(y.sum())
     n0 = len(y) - n1
@@ -76,7 +76,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, features: int = FEA
     ratio = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
     e = (a + b) / len(y)
     chi = np.divide((a - e * n1) ** 2, e * (1 - e) * n1 * n0 / len(y), out=np.zeros(BUCKETS), where=(e > 0) & (e < 1))
-    top = np.sort(np.argsort(-chi, kind="stable")[:features])
+    top = np.argsort(-chi, kind="stable")[:features]
+    top = np.sort(top[chi[top] >= least])
     slot = np.full(BUCKETS, len(top), np.int16)
     slot[top] = np.arange(len(top))
     r = np.append(ratio[top], 0.0)

@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES, date:
             for r in b.to_pylist():
                 if sink is None:
                     to.create_dir(base, recursive=True)
-                    sink = to.open_output_stream(f"{base}/{name}")
+                    sink = to.open_output_stream(f"{base}/{name}", compression=None)
                 digest = base64.b32encode(base64.b64decode(r["digest"])).decode()
                 kind = "revisit" if r["revisit"] else "response"
                 size += sink.write(_gzip(record(kind, r["page_id"], r["url"], (r["html"] or "").encode(), digest, r["first"], r["first_url"], r["n_bytes"], date))) or 0
@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
             for path in b.column(0).to_pylist():
                 where, name = open_fs(path)
                 rows = []
-                with where.open_input_stream(name) as source:
+                with where.open_input_stream(name, compression=None) as source:
                     for at, n, data in members(source):
                         fields, block = parse(data)
                         http, _, payload = block.partition(b"\r\n\r\n")
