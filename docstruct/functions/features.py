@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import WS, words
+from docstruct.functions.text import words
 
 UPPER, LOWER, CASED, LETTER = r"[\p{Lu}\p{IsUppercase}]", r"[\p{Ll}\p{IsLowercase}]", r"[\p{Lu}\p{Ll}\p{Lt}]", r"\p{L}"
 # Words that stay lower-case in titles, and signs of a heading in font names.
 SMALL_WORDS = ("a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
 FONT_SIGNS = ("heading", "title", "header", "bold", "black", "heavy")
-PUNCTUATION = r"[.,;:!?()\[\]{}\"'\-]"
+PUNCTUATION = r".,;:!?()\[\]{}\"'\-"
 
 
 def ratio(n: Column, d: Column, default: float = 0.0) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(default))
 
 
-def share(c: Column, pattern: str) -> Column:
-    """Characters that match, of all."""
-    return ratio(F.regexp_count(c, F.lit(pattern)).cast("double"), F.length(c))
+def rare(c: Column, members: str) -> Column:
+    """Number of characters of a class that few are of: the length without runs of others."""
+    return F.length(F.regexp_replace(c, f"(?U)[^{members}]+", ""))
+
+
+def common(c: Column, members: str) -> Column:
+    """The same for a class that most are of: what its runs leave is not of it."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"(?U)[{members}]+", ""))
+
+
+def share(c: Column, members: str) -> Column:
+    """Characters of a class, of all."""
+    return ratio(rare(c, members).cast("double"), F.length(c))
 
 
 def is_upper(c: Column) -> Column:
@@ -79,16 +89,16 @@ def whitespace_below(y1: Column, top: Column, height: Column) -> Column:
 
 def capitalization(c: Column) -> Column:
     """Upper-case letters of those that have case."""
-    return ratio(F.regexp_count(c, F.lit(r"[\p{Lu}&&\p{L}]")).cast("double"), F.regexp_count(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]")))
+    return ratio(rare(c, r"\p{Lu}").cast("double"), common(c, r"\p{Lu}\p{Ll}\p{Lt}"))
 
 
 def capitalization_basic(c: Column) -> Column:
     """Upper-case letters of all letters, those without case too."""
-    return ratio(F.regexp_count(c, F.lit(r"\p{Lu}")).cast("double"), F.regexp_count(c, F.lit(LETTER)))
+    return ratio(rare(c, r"\p{Lu}").cast("double"), common(c, r"\p{L}"))
 
 
 def whitespace_ratio(c: Column) -> Column:
-    return share(c, rf"(?U){WS}")
+    return share(c, r"\s\x1c-\x1f")
 
 
 def punctuation_density(c: Column) -> Column:
@@ -96,11 +106,11 @@ def punctuation_density(c: Column) -> Column:
 
 
 def numeric_ratio(c: Column) -> Column:
-    return share(c, r"[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨]")
+    return share(c, r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨")
 
 
 def special_ratio(c: Column) -> Column:
-    return share(c, rf"(?U)[^\p{{L}}\p{{N}}\s\x1c-\x1f]")
+    return ratio((F.length(c) - common(c, r"\p{L}\p{N}\s\x1c-\x1f")).cast("double"), F.length(c))
 
 
 def word_count(c: Column) -> Column:
@@ -111,25 +121,33 @@ def sentence_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit("[.!?]+"))
 
 
-def title_case_score(c: Column) -> Column:
-    """Share of words as titles have them; 0 where each word of letters alone is in capitals, or there is none such."""
-    own = words(c)
-    small = F.array(*map(F.lit, SMALL_WORDS))
+# Patterns of words in a text: each begins after white space or at the start.
+_SPACE, _TEXT = r"\s\x1c-\x1f", r"[^\s\x1c-\x1f]"
+_START, _END = rf"(?<!{_TEXT})", rf"(?!{_TEXT})"
+_INSIDE = rf"[^\p{{L}}\p{{N}}_{_SPACE}]*"
+_SMALL = "(?:" + "|".join(_INSIDE + _INSIDE.join(f"[{x}{x.upper()}]" for x in w) + _INSIDE for w in SMALL_WORDS) + ")" + _END
+_BIG = rf"\p{{Lu}}{_TEXT}*?[\p{{Ll}}\p{{Lt}}]"
 
-    def fits(w: Column, i: Column) -> Column:
-        plain = F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]", "")
-        start = F.substring(w, 1, 1)
-        big = start.rlike(UPPER) & ~is_upper(w)
-        return F.when((i == 0) | ~F.array_contains(small, plain), big).otherwise(start.rlike(LOWER)).cast("int")
 
-    shouted = F.forall(own, lambda w: ~w.rlike(r"^\p{L}+$") | is_upper(w))
-    hits = F.aggregate(F.transform(own, fits), F.lit(0), lambda a, x: a + x)
-    return F.when((F.size(own) == 0) | shouted, F.lit(0.0)).otherwise(hits.cast("double") / F.size(own))
+def count_words(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(f"(?U){_START}{pattern}"))
+
+
+def title_case_score(c: Column) -> Column:
+    """Share of words as titles have them; 0 where each word of letters alone is in capitals, or there is none such.
+
+    A first or other large word counts if it starts upper-case and is not all upper; a small word if it starts lower-case.
+    """
+    n = word_count(c)
+    mixed = c.rlike(rf"(?U){_START}(?:\p{{L}}*[\p{{Ll}}\p{{Lt}}]\p{{L}}*|[\p{{Lo}}\p{{Lm}}]+){_END}")
+    later = F.regexp_replace(c, rf"(?U)^[{_SPACE}]*{_TEXT}+", "")
+    hits = count_words(c, _BIG) - count_words(later, rf"(?={_SMALL}){_BIG}") + count_words(later, rf"(?=\p{{Ll}}){_SMALL}")
+    return F.when((n == 0) | ~mixed, F.lit(0.0)).otherwise(hits.cast("double") / n)
 
 
 def all_caps_score(c: Column) -> Column:
-    own = words(c)
-    return ratio(F.size(F.filter(own, lambda w: is_upper(w) & (F.length(w) > 1))).cast("double"), F.size(own))
+    """Share of words of over one character that are all upper-case."""
+    return ratio(count_words(c, rf"(?={_TEXT}*[\p{{Lu}}\p{{IsUppercase}}])[^\p{{Ll}}\p{{IsLowercase}}\p{{Lt}}{_SPACE}]{{2,}}{_END}").cast("double"), word_count(c))
 
 
 def hints(text: Column, size_ratio: Column, bold: Column, italic: Column, y: Column, capitals: Column, length: Column) -> Column:

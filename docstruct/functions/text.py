@@ -28,17 +28,20 @@ def collapse(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words between white space; none for a text without any."""
-    return F.when(collapse(c) == "", F.array().cast("array<string>")).otherwise(F.split(collapse(c), " "))
+    return F.filter(F.split(c, rf"(?U){WS}+"), lambda w: w != "")
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C, in Arrow batches: Spark has no such function."""
+    """Unicode normal form C, in Arrow batches: Spark has no such function.
+
+    Marked as not deterministic so that a later filter on its result does not run it twice.
+    """
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFC")
 
-    return run(c)
+    return run.asNondeterministic()(c)
 
 
 def _characters(c: Column) -> Column:
@@ -62,7 +65,7 @@ def decode(data: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of spaces, then tabs, then blank lines, then single line ends, in this order."""
-    c = F.translate(F.regexp_replace(c, " +", " "), "\t", " ")
+    c = F.translate(F.regexp_replace(c, "  +", " "), "\t", " ")
     c = F.regexp_replace(c, rf"(?U)\n{WS}*\n+", "\n\n")
     return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
 

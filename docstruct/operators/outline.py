@@ -13,18 +13,32 @@ UNTITLED = "Untitled Document"
 LEVELS = ("H1", "H2", "H3")
 
 
+def level_of(name: Column) -> Column:
+    """The level of a heading class; null for text."""
+    return F.when(name == "title", "title").when(name == "h1", "H1").when(name == "h2", "H2").when(name == "h3", "H3")
+
+
 def headings(classified: DataFrame) -> DataFrame:
     """Blocks of a heading class, with ``level``."""
-    name = F.col("predicted_class")
-    level = F.when(name == "title", "title").when(name == "h2", "H2").when(name == "h3", "H3").otherwise("H1")
-    return classified.where(name.isin(*HEADINGS)).withColumn("level", level).withColumn("text", strip(F.col("text")))
+    rows = classified.where(F.col("predicted_class").isin(*HEADINGS))
+    return rows.withColumn("level", level_of(F.col("predicted_class"))).withColumn("text", strip(F.col("text")))
+
+
+def surest_title() -> Column:
+    """Aggregate: the title of highest confidence, the first of equals."""
+    titled = F.col("level") == "title"
+    return F.max_by(F.when(titled, F.col("text")), F.when(titled, F.struct("confidence", (-F.col("seq")).alias("s"))))
+
+
+def first_heading() -> Column:
+    """Aggregate: the first heading by page and height."""
+    found = F.col("level").isNotNull()
+    return F.min_by(F.when(found, F.col("text")), F.when(found, F.struct("page_number", "position_y", "seq")))
 
 
 def titles(found: DataFrame) -> DataFrame:
-    """``doc_id, title``: the surest title, the first of equals, else the first heading by page and height."""
-    titled = F.max_by(F.when(F.col("level") == "title", F.col("text")), F.when(F.col("level") == "title", F.struct("confidence", (-F.col("seq")).alias("s"))))
-    first = F.min_by("text", F.struct("page_number", "position_y", "seq"))
-    return found.groupBy("doc_id").agg(F.coalesce(titled, first).alias("title"))
+    """``doc_id, title`` of documents with headings."""
+    return found.groupBy("doc_id").agg(F.coalesce(surest_title(), first_heading()).alias("title"))
 
 
 def largest_on_first_page(found: DataFrame) -> DataFrame:
@@ -32,21 +46,27 @@ def largest_on_first_page(found: DataFrame) -> DataFrame:
     return found.where("page_number = 1").groupBy("doc_id").agg(F.max_by("text", F.struct("font_size_ratio", (-F.col("seq")).alias("s"))).alias("title"))
 
 
+def repeats(text: Column, title: Column) -> Column:
+    """Whether a heading is its document's title again; no title is repeated by nothing."""
+    return F.coalesce((strip(title) != "") & (text == strip(title)), F.lit(False))
+
+
 def without_title(found: DataFrame, title: DataFrame) -> DataFrame:
     """Headings that don't repeat their document's title."""
     rows = found.join(title, "doc_id", "left")
-    return rows.where(F.col("title").isNull() | (strip(F.col("title")) == "") | (F.col("text") != strip(F.col("title")))).drop("title")
+    return rows.where(~repeats(F.col("text"), F.col("title"))).drop("title")
 
 
-def progressed(found: DataFrame) -> DataFrame:
+def progressed(found: DataFrame, *within: str) -> DataFrame:
     """Levels in the order of page and text, none skipped: the first is H1, and an H3 needs an H2 since the first row.
 
     Closed form of the running state: after the first row that is no title, each H2 or H3 comes out as H2 at least.
+    ``within`` names further columns whose groups run apart; clustering by document serves them too.
     """
-    w = Window.partitionBy("doc_id", F.col("level") == "title").orderBy("page_number", "text", "seq")
+    w = Window.partitionBy("doc_id", F.col("level") == "title", *within).orderBy("page_number", "text", "seq")
     before = F.count_if(F.col("level").isin("H2", "H3") & (F.col("rn") > 1)).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = found.withColumn("rn", F.row_number().over(w)).withColumn("deep", before)
-    level = F.when(F.col("level") == "title", "title").when((F.col("rn") == 1) | (F.col("level") == "H1"), "H1").when((F.col("level") == "H3") & (F.col("deep") > 0), "H3").otherwise("H2")
+    level = F.when(F.col("level").isNull(), F.lit(None)).when(F.col("level") == "title", "title").when((F.col("rn") == 1) | (F.col("level") == "H1"), "H1").when((F.col("level") == "H3") & (F.col("deep") > 0), "H3").otherwise("H2")
     return rows.withColumn("level", level).drop("rn", "deep")
 
 
@@ -60,11 +80,19 @@ def outlines(docs: DataFrame, title: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def structure(classified: DataFrame) -> DataFrame:
-    """Classified blocks to ``doc_id, title, outline``."""
-    rows = classified.select("doc_id", "seq", "text", "page_number", "predicted_class", "confidence", F.col("features.position_y").alias("position_y"))
-    found = headings(rows)
-    title = titles(found)
-    return outlines(rows, title, progressed(without_title(found, title)))
+    """Classified blocks to ``doc_id, title, outline`` of every document.
+
+    The same as :func:`outlines` of the single steps, in one chain: titles are window aggregates, so that the blocks are
+    read once and no row leaves its document's partition.
+    """
+    d = Window.partitionBy("doc_id")
+    rows = classified.select("doc_id", "seq", strip(F.col("text")).alias("text"), "page_number", "confidence", F.col("features.position_y").alias("position_y"), level_of(F.col("predicted_class")).alias("level"))
+    rows = rows.withColumn("title", F.coalesce(surest_title().over(d), first_heading().over(d)))
+    rows = rows.withColumn("kept", F.col("level").isNotNull() & ~repeats(F.col("text"), F.col("title")))
+    entry = F.when(F.col("kept") & (F.col("level") != "title"), F.struct(F.col("page_number").alias("page"), "text", "seq", "level"))
+    made = progressed(rows, "kept").groupBy("doc_id").agg(F.first("title").alias("title"), F.sort_array(F.collect_list(entry)).alias("e"))
+    outline = F.transform("e", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"), x["page"].alias("page")))
+    return made.select("doc_id", F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)).alias("title"), outline.alias("outline"))
 
 
 def is_valid(title: Column, outline: Column) -> Column:

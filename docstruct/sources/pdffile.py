@@ -1,0 +1,388 @@
+"""A small PDF reader: positioned text of simple and Type0 fonts, without a library.
+
+Objects are found by scanning for ``n g obj``, so a damaged cross-reference table does no harm; object streams are opened;
+streams are plain or FlateDecode. Character codes go through ToUnicode maps where a font has one, else through Windows
+code page 1252. What it can't decode raises :class:`PdfError` with a code.
+"""
+
+from __future__ import annotations
+
+import re
+import time
+import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
+
+
+class PdfError(Exception):
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+class Name(str):
+    """A name object."""
+
+
+class Ref(NamedTuple):
+    number: int
+
+
+class Stream(NamedTuple):
+    info: dict
+    data: bytes
+
+
+class Span(NamedTuple):
+    text: str
+    page: int
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    size: float
+    font: str
+    flags: int
+
+
+_TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\x00\t\n\f\r ]*)*(<<|>>|\[|\]|\(|<[0-9A-Fa-f\s]*>|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[+-]?\d*\.?\d+|[+-]?\d+\.?|[{}]|[^\x00\t\n\f\r ()<>\[\]{}/%]+)")
+_REF = re.compile(rb"[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+R(?![A-Za-z])")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+_STYLES = ((re.compile("bold|black|heavy", re.I), 16), (re.compile("italic|oblique", re.I), 2))
+
+
+class Reader:
+    """Values of a piece of PDF syntax, one at a time."""
+
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def _string(self) -> bytes:
+        out, depth, d = bytearray(), 1, self.data
+        while self.at < len(d):
+            c = d[self.at : self.at + 1]
+            self.at += 1
+            if c == b"\\":
+                c = d[self.at : self.at + 1]
+                self.at += 1
+                if c.isdigit() and c < b"8":
+                    m = re.compile(rb"[0-7]{1,3}").match(d, self.at - 1)
+                    self.at = m.end()
+                    out.append(int(m[0], 8) & 255)
+                elif c == b"\r":
+                    self.at += d[self.at : self.at + 1] == b"\n"
+                elif c != b"\n":
+                    out += _ESCAPES.get(c, c)
+                continue
+            depth += (c == b"(") - (c == b")")
+            if not depth:
+                break
+            out += c
+        return bytes(out)
+
+    def next(self):
+        """The next value; operators come as bytes, strings as bytearray. Raises StopIteration at the end."""
+        m = _TOKEN.match(self.data, self.at)
+        if not m:
+            raise StopIteration
+        t, self.at = m[1], m.end()
+        if t == b"(":
+            return bytearray(self._string())
+        if t == b"<<":
+            out = {}
+            while (key := self.next()) != b">>":
+                if not isinstance(key, Name):
+                    raise PdfError("CORRUPTED_FILE", "a dictionary key that is no name")
+                value = self.next()
+                if value == b">>":
+                    break
+                out[str(key)] = value
+            return out
+        if t == b"[":
+            out = []
+            while (value := self.next()) != b"]":
+                out.append(value)
+            return out
+        if t[:1] == b"<" and t != b"<<":
+            digits = re.sub(rb"\s", b"", t[1:-1])
+            return bytearray(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
+        if t[:1] == b"/":
+            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), t[1:]).decode("latin-1"))
+        if re.fullmatch(rb"[+-]?(\d+\.?\d*|\.\d+)", t):
+            if t.isdigit() and (r := _REF.match(self.data, self.at)):
+                self.at = r.end()
+                return Ref(int(t))
+            return float(t) if b"." in t else int(t)
+        return {b"true": True, b"false": False, b"null": None}.get(t, t)
+
+
+def _unpack(info: dict, data: bytes) -> bytes:
+    kinds = info.get("Filter") or []
+    for kind in kinds if isinstance(kinds, list) else [kinds]:
+        if kind != "FlateDecode":
+            raise PdfError("UNSUPPORTED", f"stream filter {kind}")
+        d = zlib.decompressobj()
+        data = d.decompress(data) + d.flush()
+    return data
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if not data:
+            raise PdfError("EMPTY_FILE", "the file is empty")
+        if b"%PDF-" not in data[:1024]:
+            raise PdfError("OPEN_FAILED", "not a PDF file")
+        self.objects: dict[int, object] = {}
+        self.trailer: dict = {}
+        try:
+            self._load(data)
+        except (StopIteration, zlib.error, ValueError, RecursionError) as e:
+            raise PdfError("CORRUPTED_FILE", f"damaged syntax: {e}") from e
+        if "Encrypt" in self.trailer:
+            raise PdfError("PASSWORD_PROTECTED", "the file is encrypted")
+
+    def _load(self, data: bytes) -> None:
+        packed = []
+        for m in re.finditer(rb"(?<!\d)(\d+)[\s\x00]+\d+[\s\x00]+obj\b", data):
+            reader = Reader(data, m.end())
+            value = reader.next()
+            if isinstance(value, dict) and (s := re.compile(rb"\s*stream(\r\n|\n|\r)").match(data, reader.at)):
+                n = value.get("Length")
+                end = s.end() + n if isinstance(n, int) else -1
+                if end < 0 or not re.compile(rb"\s*endstream").match(data, end):
+                    end = data.find(b"endstream", s.end())
+                value = Stream(value, data[s.end() : end if end >= 0 else len(data)])
+                if value.info.get("Type") == "ObjStm":
+                    packed.append(value)
+                elif value.info.get("Type") == "XRef":
+                    self.trailer |= value.info
+            self.objects[int(m[1])] = value
+        for m in re.finditer(rb"\btrailer\b", data):
+            if isinstance(found := Reader(data, m.end()).next(), dict):
+                self.trailer |= found
+        for s in packed:
+            body, first = _unpack(s.info, s.data), self.get(s.info["First"])
+            heads = [int(x) for x in body[:first].split()]
+            for number, at in zip(heads[::2], heads[1::2], strict=True):
+                self.objects.setdefault(number, Reader(body, first + at).next())
+
+    def get(self, value):
+        for _ in range(50):
+            if not isinstance(value, Ref):
+                return value
+            value = self.objects.get(value.number)
+        return None
+
+    def bytes_of(self, value) -> bytes:
+        value = self.get(value)
+        if isinstance(value, list):
+            return b"\n".join(self.bytes_of(x) for x in value)
+        return _unpack(value.info, value.data) if isinstance(value, Stream) else b""
+
+    def pages(self) -> list[dict]:
+        """Pages in order, with what they inherit."""
+        root = self.get(self.trailer.get("Root")) or next((o for o in self.objects.values() if isinstance(o, dict) and o.get("Type") == "Catalog"), None)
+        if not root:
+            raise PdfError("PAGE_COUNT_FAILED", "no catalogue")
+        out: list[dict] = []
+
+        def walk(node, above: dict, seen: frozenset) -> None:
+            key, node = node.number if isinstance(node, Ref) else None, self.get(node)
+            if not isinstance(node, dict) or key in seen:
+                return
+            own = above | {k: node[k] for k in ("Resources", "MediaBox", "CropBox") if k in node}
+            if "Kids" in node:
+                for kid in self.get(node["Kids"]) or []:
+                    walk(kid, own, seen | {key})
+            else:
+                out.append(own | node)
+
+        walk(root.get("Pages"), {}, frozenset())
+        return out
+
+    def metadata(self) -> dict[str, str]:
+        info = self.get(self.trailer.get("Info")) or {}
+        text = lambda b: (bytes(b[2:]).decode("utf-16-be", "replace") if b[:2] == b"\xfe\xff" else bytes(b).decode("latin-1")).strip()
+        return {k: text(v) for k, v in ((k, self.get(v)) for k, v in info.items()) if isinstance(v, bytearray) and v}
+
+
+class Font:
+    """Text and advance of character codes."""
+
+    def __init__(self, doc: Document, font: dict):
+        self.name = str(doc.get(font.get("BaseFont")) or "unknown").split("+", 1)[-1]
+        self.wide = font.get("Subtype") == "Type0"
+        self.map: dict[int, str] = {}
+        if "ToUnicode" in font:
+            self._unicode(doc.bytes_of(font["ToUnicode"]))
+        self.widths: dict[int, float] = {}
+        own = doc.get((doc.get(font.get("DescendantFonts")) or [None])[0]) if self.wide else font
+        own = own or {}
+        self.default = float(doc.get(own.get("DW")) or 1000) if self.wide else 500.0
+        if self.wide:
+            w, i = doc.get(own.get("W")) or [], 0
+            while i + 1 < len(w):
+                if isinstance(some := doc.get(w[i + 1]), list):
+                    self.widths |= {w[i] + k: x for k, x in enumerate(some)}
+                    i += 2
+                else:
+                    self.widths |= dict.fromkeys(range(w[i], min(some, w[i] + 65535) + 1), w[i + 2])
+                    i += 3
+        else:
+            first = doc.get(own.get("FirstChar")) or 0
+            self.widths = {first + k: doc.get(x) for k, x in enumerate(doc.get(own.get("Widths")) or [])}
+        self.flags = sum(flag for sign, flag in _STYLES if sign.search(self.name))
+
+    def _unicode(self, data: bytes) -> None:
+        text = lambda b: bytes(b).decode("utf-16-be", "replace")
+        number = lambda b: int.from_bytes(b, "big")
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+            found = _values(block)
+            self.map |= {number(a): text(b) for a, b in zip(found[::2], found[1::2], strict=False)}
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+            found = _values(block)
+            for a, b, to in zip(found[::3], found[1::3], found[2::3], strict=False):
+                for k in range(min(number(b) - number(a) + 1, 65536)):
+                    self.map[number(a) + k] = text(to[k]) if isinstance(to, list) else text(to[:-2]) + chr((number(to[-2:]) + k) & 0xFFFF)
+
+    def decode(self, data: bytes) -> list[tuple[str, float, bool]]:
+        """Text, width in thousandths and whether it is a word space, of each code."""
+        codes = [int.from_bytes(data[i : i + 2], "big") for i in range(0, len(data), 2)] if self.wide else list(data)
+        return [(self.map.get(c) or ("" if self.wide else bytes([c]).decode("cp1252", "replace")), float(self.widths.get(c) or self.default), c == 32 and not self.wide) for c in codes]
+
+
+def _values(data: bytes) -> list:
+    reader, out = Reader(data), []
+    while True:
+        try:
+            out.append(reader.next())
+        except StopIteration:
+            return out
+
+
+def _times(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+def page_spans(doc: Document, page: dict, number: int) -> Iterator[Span]:
+    """A span for each run of text of one font on one line; the origin is the upper left corner."""
+    box = [float(doc.get(x)) for x in (doc.get(page.get("CropBox")) or doc.get(page.get("MediaBox")) or [0, 0, 612, 792])]
+    found = doc.get((doc.get(page.get("Resources")) or {}).get("Font")) or {}
+    fonts: dict[str, Font] = {}
+    one = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    ctm, saved, tm, line = one, [], one, one
+    font, size, leading, spacing, word_space, scale, rise = None, 12.0, 0.0, 0.0, 0.0, 1.0, 0.0
+    run: list = []  # text, x0, x1, baseline, size, font
+
+    def end() -> Iterator[Span]:
+        if run and run[0].strip():
+            text, x0, x1, base, high, f = run
+            yield Span(text, number, x0 - box[0], box[3] - base - 0.8 * high, x1 - box[0], box[3] - base + 0.2 * high, high, f.name, f.flags)
+        run.clear()
+
+    def show(data: bytes) -> Iterator[Span]:
+        nonlocal tm
+        if font is None:
+            return
+        at = _times((size * scale, 0, 0, size, 0, rise), _times(tm, ctm))
+        high = (at[2] ** 2 + at[3] ** 2) ** 0.5
+        text, wide = "", 0.0
+        for piece, width, space in font.decode(data):
+            text += piece
+            wide += (width / 1000 * size + spacing + (word_space if space else 0.0)) * scale
+        tm = _times((1, 0, 0, 1, wide, 0), tm)
+        x1 = _times(tm, ctm)[4]
+        gap = at[4] - run[2] if run else 0.0
+        if run and run[5] is font and abs(run[3] - at[5]) < 0.5 and abs(run[4] - high) < 0.01 and -0.5 * high < gap < high:
+            run[0] += (" " if gap > 0.2 * high and not run[0].endswith(" ") and not text.startswith(" ") else "") + text
+            run[2] = x1
+        else:
+            yield from end()
+            run[:] = [text, at[4], x1, at[5], high, font]
+
+    def move(x: float, y: float) -> None:
+        nonlocal tm, line
+        tm = line = _times((1, 0, 0, 1, x, y), line)
+
+    reader, args = Reader(doc.bytes_of(page.get("Contents"))), []
+    while True:
+        try:
+            value = reader.next()
+        except StopIteration:
+            break
+        if not isinstance(value, bytes):
+            args.append(value)
+            continue
+        a = args
+        try:
+            if value == b"Tf":
+                key, size = str(a[0]), float(a[1])
+                if key not in fonts:
+                    fonts[key] = Font(doc, doc.get(found.get(key)) or {})
+                font = fonts[key]
+            elif value == b"BT":
+                tm = line = one
+            elif value == b"Tm":
+                tm = line = tuple(map(float, a[:6]))
+            elif value == b"Td":
+                move(*map(float, a[:2]))
+            elif value == b"TD":
+                leading = -float(a[1])
+                move(*map(float, a[:2]))
+            elif value == b"T*":
+                move(0, -leading)
+            elif value == b"TL":
+                leading = float(a[0])
+            elif value == b"Tc":
+                spacing = float(a[0])
+            elif value == b"Tw":
+                word_space = float(a[0])
+            elif value == b"Tz":
+                scale = float(a[0]) / 100
+            elif value == b"Ts":
+                rise = float(a[0])
+            elif value == b"Tj":
+                yield from show(bytes(a[0]))
+            elif value in (b"'", b'"'):
+                if value == b'"':
+                    word_space, spacing = float(a[0]), float(a[1])
+                move(0, -leading)
+                yield from show(bytes(a[-1]))
+            elif value == b"TJ":
+                for x in a[0]:
+                    if isinstance(x, bytearray):
+                        yield from show(bytes(x))
+                    else:
+                        tm = _times((1, 0, 0, 1, -x / 1000 * size * scale, 0), tm)
+            elif value == b"cm":
+                ctm = _times(tuple(map(float, a[:6])), ctm)
+            elif value == b"q":
+                saved.append((ctm, font, size, leading, spacing, word_space, scale, rise))
+            elif value == b"Q" and saved:
+                ctm, font, size, leading, spacing, word_space, scale, rise = saved.pop()
+            elif value == b"BI":
+                at = re.compile(rb"\sEI\s").search(reader.data, reader.at)
+                reader.at = at.end() if at else len(reader.data)
+        except (IndexError, TypeError, ValueError):
+            pass  # an operator without its operands draws nothing
+        args = []
+    yield from end()
+
+
+def read(data: bytes, max_pages: int | None = 50, seconds: float = 10.0) -> tuple[list[Span], int, int]:
+    """Spans, pages of the file and pages that failed. The deadline is looked at between pages."""
+    doc, began = Document(data), time.monotonic()
+    pages = doc.pages()
+    if not pages:
+        raise PdfError("NO_PAGES", "the file has no pages")
+    spans, failed = [], 0
+    for k, page in enumerate(pages[:max_pages]):
+        if time.monotonic() - began > seconds:
+            raise PdfError("PROCESSING_TIMEOUT", f"over {seconds} s")
+        try:
+            spans += page_spans(doc, page, k + 1)
+        except (PdfError, zlib.error, RecursionError):
+            failed += 1
+    if not spans:
+        raise PdfError("NO_TEXT_EXTRACTED", "no text")
+    return spans, len(pages), failed
