@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import words
+from docstruct.functions.text import WS_CHARS, words
 
 UPPER, LOWER, CASED, LETTER = r"[\p{Lu}\p{IsUppercase}]", r"[\p{Ll}\p{IsLowercase}]", r"[\p{Lu}\p{Ll}\p{Lt}]", r"\p{L}"
 # Words that stay lower-case in titles, and signs of a heading in font names.
@@ -20,12 +20,12 @@ def ratio(n: Column, d: Column, default: float = 0.0) -> Column:
 
 def rare(c: Column, members: str) -> Column:
     """Number of characters of a class that few are of: the length without runs of others."""
-    return F.length(F.regexp_replace(c, f"(?U)[^{members}]+", ""))
+    return F.length(F.regexp_replace(c, f"[^{members}]+", ""))
 
 
 def common(c: Column, members: str) -> Column:
     """The same for a class that most are of: what its runs leave is not of it."""
-    return F.length(c) - F.length(F.regexp_replace(c, f"(?U)[{members}]+", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{members}]+", ""))
 
 
 def share(c: Column, members: str) -> Column:
@@ -98,7 +98,7 @@ def capitalization_basic(c: Column) -> Column:
 
 
 def whitespace_ratio(c: Column) -> Column:
-    return share(c, r"\s\x1c-\x1f")
+    return share(c, WS_CHARS)
 
 
 def punctuation_density(c: Column) -> Column:
@@ -110,7 +110,7 @@ def numeric_ratio(c: Column) -> Column:
 
 
 def special_ratio(c: Column) -> Column:
-    return ratio((F.length(c) - common(c, r"\p{L}\p{N}\s\x1c-\x1f")).cast("double"), F.length(c))
+    return ratio((F.length(c) - common(c, r"\p{L}\p{N}" + WS_CHARS)).cast("double"), F.length(c))
 
 
 def word_count(c: Column) -> Column:
@@ -122,7 +122,7 @@ def sentence_count(c: Column) -> Column:
 
 
 # Patterns of words in a text: each begins after white space or at the start.
-_SPACE, _TEXT = r"\s\x1c-\x1f", r"[^\s\x1c-\x1f]"
+_SPACE, _TEXT = WS_CHARS, f"[^{WS_CHARS}]"
 _START, _END = rf"(?<!{_TEXT})", rf"(?!{_TEXT})"
 _INSIDE = rf"[^\p{{L}}\p{{N}}_{_SPACE}]*"
 _SMALL = "(?:" + "|".join(_INSIDE + _INSIDE.join(f"[{x}{x.upper()}]" for x in w) + _INSIDE for w in SMALL_WORDS) + ")" + _END
@@ -130,7 +130,7 @@ _BIG = rf"\p{{Lu}}{_TEXT}*?[\p{{Ll}}\p{{Lt}}]"
 
 
 def count_words(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(f"(?U){_START}{pattern}"))
+    return F.regexp_count(c, F.lit(_START + pattern))
 
 
 def title_case_score(c: Column) -> Column:
@@ -139,8 +139,8 @@ def title_case_score(c: Column) -> Column:
     A first or other large word counts if it starts upper-case and is not all upper; a small word if it starts lower-case.
     """
     n = word_count(c)
-    mixed = c.rlike(rf"(?U){_START}(?:\p{{L}}*[\p{{Ll}}\p{{Lt}}]\p{{L}}*|[\p{{Lo}}\p{{Lm}}]+){_END}")
-    later = F.regexp_replace(c, rf"(?U)^[{_SPACE}]*{_TEXT}+", "")
+    mixed = c.rlike(rf"{_START}(?:\p{{L}}*[\p{{Ll}}\p{{Lt}}]\p{{L}}*|[\p{{Lo}}\p{{Lm}}]+){_END}")
+    later = F.regexp_replace(c, rf"^[{_SPACE}]*{_TEXT}+", "")
     hits = count_words(c, _BIG) - count_words(later, rf"(?={_SMALL}){_BIG}") + count_words(later, rf"(?=\p{{Ll}}){_SMALL}")
     return F.when((n == 0) | ~mixed, F.lit(0.0)).otherwise(hits.cast("double") / n)
 

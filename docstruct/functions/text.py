@@ -1,6 +1,6 @@
 """Text normalisation as Columns.
 
-White space is what Python's ``str.isspace`` holds, ``WS``; Spark's ``trim`` knows the plain space alone.
+White space is what Python's ``str.isspace`` holds, as a plain character class: Java's Unicode flag costs far more.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\s\x1c-\x1f]"
+# The characters of white space.
+WS_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_CHARS}]"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Characters that become a plain space, that go, and quotation marks with their ASCII forms.
 SPACES = "              　"
 GONE = "﻿‎‏‪‫‬‭‮­​‌‍"
@@ -18,17 +21,17 @@ BULLETS = "•·▪▫◦‣⁃"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """Each run of white space a plain space, none at the ends."""
-    return strip(F.regexp_replace(c, rf"(?U){WS}+", " "))
+    return strip(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def words(c: Column) -> Column:
     """The words between white space; none for a text without any."""
-    return F.filter(F.split(c, rf"(?U){WS}+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 
 
 def nfc(c: Column) -> Column:
@@ -66,7 +69,7 @@ def decode(data: Column) -> Column:
 def normalize_whitespace(c: Column) -> Column:
     """Runs of spaces, then tabs, then blank lines, then single line ends, in this order."""
     c = F.translate(F.regexp_replace(c, "  +", " "), "\t", " ")
-    c = F.regexp_replace(c, rf"(?U)\n{WS}*\n+", "\n\n")
+    c = F.regexp_replace(c, rf"\n{WS}*\n+", "\n\n")
     return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
 
 
@@ -79,8 +82,8 @@ def clean(c: Column) -> Column:
 
 def special_cases(c: Column) -> Column:
     """Bullets become one bullet, and list numbers ``n.`` or ``n)`` become ``n. ``."""
-    c = F.regexp_replace(c, rf"(?mU)(^|{WS})[{BULLETS}]{WS}*", "$1• ")
-    return F.regexp_replace(c, rf"(?mU)^(\d+)[.)]{WS}*", "$1. ")
+    c = F.regexp_replace(c, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• ")
+    return F.regexp_replace(c, rf"(?m)^(\p{{Nd}}+)[.)]{WS}*", "$1. ")
 
 
 def normalize(c: Column, compose: bool = True, keep_multilevel_numbering: bool = False) -> Column:
@@ -88,7 +91,7 @@ def normalize(c: Column, compose: bool = True, keep_multilevel_numbering: bool =
     c = clean(normalize_whitespace(normalize_unicode(c, compose)))
     done = special_cases(c)
     if keep_multilevel_numbering:
-        done = F.when(c.rlike(r"(?mU)^\d+\.\d"), F.regexp_replace(c, rf"(?mU)(^|{WS})[{BULLETS}]{WS}*", "$1• ")).otherwise(done)
+        done = F.when(c.rlike(r"(?m)^\p{Nd}+\.\p{Nd}"), F.regexp_replace(c, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• ")).otherwise(done)
     return F.coalesce(strip(done), F.lit(""))
 
 
@@ -102,7 +105,7 @@ def basename(path: Column) -> Column:
 
 def sentences(c: Column, most: int | None = None) -> Column:
     """Sentences of over ten characters, each with an end mark; split before an ASCII capital, where the marks go."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), rf"(?U)[.!?]+{WS}+(?=[A-Z])"), strip)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), f"[.!?]+{WS}+(?=[A-Z])"), strip)
     parts = F.transform(F.filter(parts, lambda s: F.length(s) > 10), lambda s: F.when(s.rlike(r"[.!?]\z"), s).otherwise(F.concat(s, F.lit("."))))
     return F.slice(parts, 1, most) if most else parts
 
