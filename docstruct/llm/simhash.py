@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstruct.llm.common import arrow_map, batch, cut, texts
@@ -36,7 +36,7 @@ from docstruct.llm.common import arrow_map, batch, cut, texts
 SHINGLE, SEED, RADIUS, PIVOTS, BIN_ROWS = 4, 42, 4, 32, 20_000
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 _AT_ONCE = 1 << 16
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row_key", pa.string())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -65,14 +65,19 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, fp, row_key``: the fingerprint as a signed long, and a hash of identifier and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).astype(np.int64)
-            yield batch(_PRINT, b.column(0), prints)
+            yield batch(_PRINT, b.column(0), prints, b.column(2))
 
-    return arrow_map(docs, run, "doc_id long, fp long", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(docs, run, "doc_id long, fp long, row_key string", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: the identifier, or the text's hash where it is null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -223,18 +228,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
 
 
+def _named(rows: DataFrame, radius: int, bin_rows: int) -> DataFrame:
+    """``fp, component_id, stays``: of each distinct fingerprint its component, and the key of the row that stays of it."""
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first")))
+    labels = cut(components(link_prints(prints.select("fp"), radius, bin_rows)))
+    named = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    return cut(whole.join(named.select("fp", "label"), "label").select("fp", "component_id", F.col("first.row_key").alias("stays")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     rows = cut(fingerprints(docs))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = cut(components(link_prints(prints.select("fp"), radius, bin_rows)))
-    named = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = cut(named.groupBy("label").agg(F.min("least").alias("component_id")).join(named.select("fp", "label"), "label").select("fp", "component_id"))
+    named = _named(rows, radius, bin_rows).drop("stays")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose identifier is their component's; columns unchanged. Null identifiers go unless alone."""
-    found = near_duplicates(docs, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """One document of each component: that of the smallest identifier, else of the smallest text hash; columns unchanged.
+
+    Rows that repeat the identifier that stays all stay.
+    """
+    named = _named(cut(fingerprints(docs)), radius, bin_rows)
+    return docs.join(named.select(F.col("stays").alias("_stays")).distinct(), row_key() == F.col("_stays"), "left_semi")

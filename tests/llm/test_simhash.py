@@ -83,6 +83,8 @@ def test_cases(spark):
     out = simhash.near_duplicates(spark.createDataFrame([(*r, 0) for r in data], "doc_id long, text string, fp int"))
     want = plain_components([d for d, _ in data], [plain_print(t) for _, t in data])
     assert sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in out.collect()))) == sorted(map(str, ((d, f"{plain_print(t):016x}", c) for (d, t), c in zip(data, want, strict=True))))
+    kept = simhash.deduplicate(spark.createDataFrame([(*r, 0) for r in data], "doc_id long, text string, fp int"))
+    assert kept.columns == ["doc_id", "text", "fp"] and sorted(str((r.doc_id, (r.text or "")[:9])) for r in kept.collect()) == sorted(map(str, [(4, ""), (2, "a b"), (None, "only null"), (8, "x x x x x"), (8, "x x x x x"), (1, "unlike al")]))
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
