@@ -50,7 +50,9 @@ _PARTS = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<tai
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indices of all spans in turn."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class Encoder:
@@ -63,7 +65,7 @@ class Encoder:
     whole, in a call of their own.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000, at_once: int = 50):
+    def __init__(self, path: str, limit: int = 250_000, at_once: int = 50):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -308,7 +310,7 @@ class Reader:
             yield from self._entries(self._block(i))
 
 
-def parts_of(b: pa.RecordBatch, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``size`` bytes of text, or of one row."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), 0
     while at < len(ends):
