@@ -24,6 +24,16 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
+def let(c: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
+def where(c: Column, holds, then) -> Column:
+    """``then`` of the values for which the cheap test ``holds``; others as they are."""
+    return let(c, lambda x: F.when(holds(x), then(x)).otherwise(x))
+
+
 def collapse(c: Column) -> Column:
     """Each run of white space a plain space, none at the ends."""
     return strip(F.regexp_replace(c, f"{WS}+", " "))
@@ -49,7 +59,8 @@ def nfc(c: Column) -> Column:
 
 def _characters(c: Column) -> Column:
     src = SPACES + DOUBLE_QUOTES + SINGLE_QUOTES + GONE
-    return F.translate(c, src, " " * len(SPACES) + '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES))
+    to = " " * len(SPACES) + '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES)
+    return where(c, lambda x: x.rlike(r"[\xa0\xad\u2000-\u206f\u3000\ufeff]"), lambda x: F.translate(x, src, to))
 
 
 def normalize_unicode(c: Column, compose: bool = True) -> Column:
@@ -68,30 +79,33 @@ def decode(data: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of spaces, then tabs, then blank lines, then single line ends, in this order."""
-    c = F.translate(F.regexp_replace(c, "  +", " "), "\t", " ")
-    c = F.regexp_replace(c, rf"\n{WS}*\n+", "\n\n")
-    return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
+    c = where(c, lambda x: x.contains("  "), lambda x: F.regexp_replace(x, "  +", " "))
+    c = where(c, lambda x: x.contains("\t"), lambda x: F.replace(x, F.lit("\t"), F.lit(" ")))
+    return where(c, lambda x: x.contains("\n"), lambda x: F.regexp_replace(F.regexp_replace(x, rf"\n{WS}*\n+", "\n\n"), r"(?<!\n)\n(?!\n)", " "))
 
 
 def clean(c: Column) -> Column:
     """Control characters go, repeated punctuation is cut down, quotation marks become ASCII."""
-    c = F.regexp_replace(c, r"[\p{C}&&[^\n\t]]", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"([.!?]){3,}", "$1$1$1"), r"([,-]){2,}", "$1")
-    return F.translate(c, DOUBLE_QUOTES + SINGLE_QUOTES, '"""' + "'''")
+    c = F.regexp_replace(c, r"[\p{C}&&[^\n\t]]+", "")
+    c = where(c, lambda x: x.rlike("[.!?]{3}"), lambda x: F.regexp_replace(x, r"([.!?]){3,}", "$1$1$1"))
+    c = where(c, lambda x: x.rlike("[,-]{2}"), lambda x: F.regexp_replace(x, r"([,-]){2,}", "$1"))
+    quotes = DOUBLE_QUOTES + SINGLE_QUOTES
+    return where(c, lambda x: x.rlike(r"[\u2018-\u201f]"), lambda x: F.translate(x, quotes, '"""' + "'''"))
 
 
 def special_cases(c: Column) -> Column:
     """Bullets become one bullet, and list numbers ``n.`` or ``n)`` become ``n. ``."""
-    c = F.regexp_replace(c, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• ")
+    c = where(c, lambda x: x.rlike(r"[\xb7\u2022-\u25e6]"), lambda x: F.regexp_replace(x, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• "))
     return F.regexp_replace(c, rf"(?m)^(\p{{Nd}}+)[.)]{WS}*", "$1. ")
 
 
 def normalize(c: Column, compose: bool = True, keep_multilevel_numbering: bool = False) -> Column:
     """The whole cascade; null is empty. Multi-level numbers lose their form unless they are to be kept."""
     c = clean(normalize_whitespace(normalize_unicode(c, compose)))
-    done = special_cases(c)
     if keep_multilevel_numbering:
-        done = F.when(c.rlike(r"(?m)^\p{Nd}+\.\p{Nd}"), F.regexp_replace(c, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• ")).otherwise(done)
+        done = let(c, lambda x: F.when(x.rlike(r"(?m)^\p{Nd}+\.\p{Nd}"), F.regexp_replace(x, rf"(?m)(^|{WS})[{BULLETS}]{WS}*", "$1• ")).otherwise(special_cases(x)))
+    else:
+        done = special_cases(c)
     return F.coalesce(strip(done), F.lit(""))
 
 

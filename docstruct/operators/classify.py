@@ -45,11 +45,15 @@ def basic_features(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("features", own)
 
 
-def with_features(blocks: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """All features in one struct."""
+#: What the rules and the outline read of the features.
+RULE_FEATURES = ("font_size_ratio", "is_bold", "position_y", "text_length")
+
+
+def with_features(blocks: DataFrame, settings: Settings = SETTINGS, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The features in one struct: all, or those of ``names`` where only some are worth their cost."""
     every = font_features() | position_features() | content_features()
     rows = with_statistics(blocks, settings)
-    return rows.withColumn("features", F.struct(*[c.alias(k) for k, c in every.items()])).drop("avg_size", "least_size", "most_size", "left", "top", "width", "height")
+    return rows.withColumn("features", F.struct(*[c.alias(k) for k, c in every.items() if names is None or k in names])).drop("avg_size", "least_size", "most_size", "left", "top", "width", "height")
 
 
 def fallback_features(text: Column) -> Column:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from docstruct.operators.classify import classified, with_features
+from docstruct.operators.classify import RULE_FEATURES, classified, with_features
 from docstruct.operators.layout import preprocess, repair
 from docstruct.operators.outline import as_json, structure
 from docstruct.schema import SETTINGS, Settings
 
 
 def classify_spans(spans: DataFrame, settings: Settings = SETTINGS, compose: bool = True, **options: bool) -> DataFrame:
-    """Blocks with features and classes. One exchange by document serves grouping, merging and statistics."""
-    return classified(with_features(preprocess(repair(spans, settings), settings, compose, **options), settings), settings)
+    """Blocks with the features that rules read, and classes. One exchange by document serves all steps."""
+    return classified(with_features(preprocess(repair(spans, settings), settings, compose, **options), settings, RULE_FEATURES), settings)
 
 
 def outline(spans: DataFrame, settings: Settings = SETTINGS, compose: bool = True, **options: bool) -> DataFrame:

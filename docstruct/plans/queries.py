@@ -227,7 +227,7 @@ def _ruled(rows: DataFrame) -> Column:
 
 @query
 def cls_rules(spark, d):
-    rows = classify.with_features(numbered(spark, d))
+    rows = classify.with_features(numbered(spark, d), names=classify.RULE_FEATURES)
     return rows.select("doc_id", "seq", _ruled(rows).alias("r")).select("doc_id", "seq", "r.*")
 
 
@@ -246,7 +246,7 @@ def cls_title_rule(spark, d):
 @query
 def cls_cascade(spark, d):
     k = (F.col("doc_id") + F.col("seq")) % 7
-    rows = classify.with_features(numbered(spark, d)).withColumns({"model_class": F.when(k == 0, F.lit(None)).when(k < 3, "title").when(k < 5, "h2").otherwise("text"), "model_confidence": F.element_at(F.array(*map(F.lit, (0.9, 0.995, 0.7, 0.3, 0.8, 0.5, 0.49))), (k + 1).cast("int")), "model_failed": k == 6})
+    rows = classify.with_features(numbered(spark, d), names=classify.RULE_FEATURES).withColumns({"model_class": F.when(k == 0, F.lit(None)).when(k < 3, "title").when(k < 5, "h2").otherwise("text"), "model_confidence": F.element_at(F.array(*map(F.lit, (0.9, 0.995, 0.7, 0.3, 0.8, 0.5, 0.49))), (k + 1).cast("int")), "model_failed": k == 6})
     return classify.classified(rows).select("doc_id", "seq", "predicted_class", "confidence")
 
 
