@@ -41,6 +41,12 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstruct.llm.licenses import find_licenses
+
+    return find_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstruct.llm.warc import deduplicated_archives
 
@@ -74,5 +80,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_mixing, op3_simhash, op4_matroska, op6_warc, op7_quality, op8_urlrules, op9_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sstable, op2_mixing, op3_simhash, op4_matroska, op5_licenses, op6_warc, op7_quality, op8_urlrules, op9_decontamination, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_mixing": MIX_SQL, "op6_warc": WARC_SQL, "op8_urlrules": JUDGE_SQL}
