@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docstruct.schema import COLLECTION
 
+# Fixed value: the name of a collection's configuration file.
 INPUT_NAME = "challenge1b_input.json"
 
 
