@@ -1,9 +1,9 @@
 """License scans by conditional compression.
 
 A candidate block begins at each line that holds a cue (``CUES``) and is compared with each template over the template's
-length and a third, or over the line where that is longer. It is compressed alone and with the template as a zstandard raw
-dictionary; templates rank by how much smaller the block gets. In rank order, a template that saves ``LEAST`` is confirmed
-by exact wording: its words are aligned with the block's, all its key words must stand in the alignment, and at most
+length and a third, or over the line where that is longer. In lower case, it is compressed alone and with the template as a
+zstandard raw dictionary; templates rank by how much smaller the block gets. In rank order, a template that saves ``LEAST``
+is confirmed by exact wording: its words are aligned with the block's, all its key words must stand in the alignment, and at most
 ``MISSING`` of its words may lack. The first confirmed template is the block's license; what lacks and what lies between is
 told. Lines within a confirmed block are not looked at again.
 
