@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
-A candidate block begins at each line that holds a cue (``CUES``) and is compared with each template over the template's
-length and a third, or over the line where that is longer. In lower case, it is compressed alone and with the template as a
-zstandard raw dictionary; templates rank by how much smaller the block gets. In rank order, a template that saves ``LEAST``
-is confirmed by exact wording: its words are aligned with the block's, all its key words must stand in the alignment, and at most
-``MISSING`` of its words may lack. The first confirmed template is the block's license; what lacks and what lies between is
-told. Lines within a confirmed block are not looked at again.
+Around each cue (``CUES``) a template is compared with the blocks that its own cues would put there: of its length, and of a
+third more on both sides; and with the line of the cue, or the template's length and a third from the line's start where
+that is longer. In lower case, a block is compressed alone and with the template as a zstandard raw dictionary; templates
+whose key words stand there rank by the bytes that their best block gets smaller. In rank order, a template that saves
+``LEAST`` of a block is confirmed by exact wording: its words are aligned with the block's, all its key words must stand in
+the alignment, which must hold the cue or none at all, and at most ``MISSING`` of its words may lack. The first confirmed
+template is the cue's license; what lacks and what lies between is told. Words of a confirmed statement are not looked at
+again.
 
 Cases: null and empty texts hold no license; repeated rows are each reported; of templates that save as much the first
 listed goes first; an empty table gives no rows; other columns are not read. Texts are scanned whole.
@@ -69,6 +71,7 @@ class Template(NamedTuple):
     size: int
     words: list[bytes]
     keys: frozenset[bytes]
+    cues: list[int]
     compressor: zstandard.ZstdCompressor
 
 
@@ -77,12 +80,12 @@ def compile_templates(templates: tuple = TEMPLATES) -> list[Template]:
     for name, text, keys in templates:
         given = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         given.precompute_compress(level=LEVEL)
-        out.append(Template(name, len(text.encode()), _WORD.findall(text.lower().encode()), frozenset(keys.encode().split()), zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_content_size=False, write_dict_id=False)))
+        out.append(Template(name, len(text.encode()), _WORD.findall(text.lower().encode()), frozenset(keys.encode().split()), [c.start() for c in CUES.finditer(text.encode())], zstandard.ZstdCompressor(level=LEVEL, dict_data=given, write_content_size=False, write_dict_id=False)))
     return out
 
 
-def wording(template: Template, block: bytes) -> tuple[list[bytes], list[bytes], int] | None:
-    """Words that lack, words between those that are there, and where the last of these ends; None if not confirmed."""
+def wording(template: Template, block: bytes) -> tuple[list[bytes], list[bytes], int, int] | None:
+    """Words that lack, words between those that are there, and where the first of these starts and the last ends; None if not confirmed."""
     places = list(_WORD.finditer(block.lower()))
     aligned = [b for b in SequenceMatcher(None, template.words, [p[0] for p in places], autojunk=False).get_matching_blocks() if b.size]
     if not aligned:
@@ -98,7 +101,7 @@ def wording(template: Template, block: bytes) -> tuple[list[bytes], list[bytes],
     extra = [p[0] for a, b in zip(aligned, aligned[1:], strict=False) for p in places[a.b + a.size : b.b]]
     if len(extra) > len(template.words):
         return None
-    return lack, extra, places[aligned[-1].b + aligned[-1].size - 1].end()
+    return lack, extra, places[aligned[0].b].start(), places[aligned[-1].b + aligned[-1].size - 1].end()
 
 
 def scan(text: bytes, templates: list[Template], plain: zstandard.ZstdCompressor) -> Iterator[Match]:
@@ -114,24 +117,55 @@ def scan(text: bytes, templates: list[Template], plain: zstandard.ZstdCompressor
         # a long line without breaks is looked at from a little before its cue
         first = max(first, cue.start() - 400)
         end = min(end, cue.end() + 1200)
-        lines, counted = lines + text.count(b"\n", counted, first), first
-        ranked, alone = [], {}
+        ranked, alone, words = [], {}, {}
         for k, t in enumerate(templates):
-            stop = max(end, min(len(text), first + t.size * 4 // 3))
-            block = text[first:stop]
-            if stop not in alone:
-                alone[stop] = len(plain.compress(block.lower()))
-            ranked.append((1 - len(t.compressor.compress(block.lower())) / alone[stop], -k, t, block))
-        for saved, _, t, block in sorted(ranked, key=lambda r: r[:2], reverse=True):
-            if saved < LEAST:
-                break
-            if (told := wording(t, block)) is not None:
-                lack, extra, last = told
-                yield Match(lines, first, first + last, t.license, round(saved, 4), b" ".join(lack).decode(errors="replace"), b" ".join(extra).decode(errors="replace"))
-                done = max(first + last, cue.end())
+            slack = t.size // 3
+            wide = [(first, max(end, first + t.size + slack))] + [(cue.start() - at - slack, cue.start() - at + t.size + slack) for at in t.cues]
+            spans = []
+            for span in wide + [(cue.start() - at, cue.start() - at + t.size) for at in t.cues]:
+                spans.append(whole_words(text, max(done, span[0]), min(len(text), span[1])))
+            best = None
+            for a, b in dict.fromkeys(spans):
+                if (a, b) not in words:
+                    words[a, b] = set(_WORD.findall(text[a:b].lower()))
+                if not t.keys <= words[a, b]:
+                    continue
+                block = text[a:b].lower()
+                if (a, b) not in alone:
+                    alone[a, b] = len(plain.compress(block))
+                saved = alone[a, b] - len(t.compressor.compress(block))
+                if saved >= LEAST * alone[a, b]:
+                    best = max(best or (0, 0.0), (saved, saved / alone[a, b]))
+            if best:
+                ranked.append((*best, -k, t, list(dict.fromkeys(spans[: len(wide)]))))
+        for _, share, _, t, wide in sorted(ranked, key=lambda r: r[:3], reverse=True):
+            told = []
+            for a, b in wide:
+                if (x := wording(t, text[a:b])) is not None:
+                    lack, extra, start, last = x
+                    if a + start <= cue.start() < a + last or not CUES.search(text, a + start, a + last):
+                        told.append((len(lack), len(extra), a + start, a + last, lack, extra))
+            if told:
+                _, _, start, last, lack, extra = min(told)
+                lines, counted = lines + text.count(b"\n", counted, start), start
+                yield Match(lines, start, last, t.license, round(share, 4), b" ".join(lack).decode(errors="replace"), b" ".join(extra).decode(errors="replace"))
+                done = max(last, cue.end())
                 break
 
 
+def whole_words(text: bytes, a: int, b: int, most: int = 40) -> tuple[int, int]:
+    """The span from a word's start to a word's end; words longer than ``most`` may be cut."""
+    for _ in range(most):
+        if not 0 < a < len(text) or not _WORD.match(text[a - 1 : a]) or not _WORD.match(text[a : a + 1]):
+            break
+        a -= 1
+    for _ in range(most):
+        if not 0 < b < len(text) or not _WORD.match(text[b - 1 : b]) or not _WORD.match(text[b : b + 1]):
+            break
+        b += 1
+    return a, b
+
+
 def find_licenses(docs: DataFrame, templates: tuple = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each license statement, with its line, byte range, saving and wording differences."""
 

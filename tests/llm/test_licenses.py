@@ -36,6 +36,22 @@ def test_several_in_one_text():
     assert [(x.license, x.line) for x in scanned(text)] == [(v, i + 6 * k) for k in range(3) for i, v in enumerate(STATED.values())]
 
 
+PROSE = "The river rose in spring and the old mill stood under water for nine days before the men of the village came with carts to save what grain was left in it. "
+
+
+@pytest.mark.parametrize("before, after", [(60, 0), (100, 100), (400, 0), (800, 800)])
+@pytest.mark.parametrize("name, text, keys", m.TEMPLATES)
+def test_prose_on_the_line(name, text, keys, before, after):
+    line = f"{(PROSE * 6)[:before]}. {text} {(PROSE * 6)[:after]}"
+    (x,) = scanned(line)
+    assert (x.license, x.missing, x.extra) == (name, "", "") and text.rstrip(".") in line.encode()[x.first_byte : x.last_byte].decode() + text[-1:]
+
+
+def test_several_on_one_line():
+    text = PROSE.join(["", *STATED, ""])
+    assert [x.license for x in scanned(text)] == [*STATED.values()]
+
+
 def test_cases(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "All rights reserved.", 0), (3, "All rights reserved.", 0), (None, "x " * 300_000 + "\nReleased under the MIT License.", 0)], "doc_id long, text string, license int")
     assert sorted(str((r.doc_id, r.license)) for r in m.find_licenses(docs).collect()) == ["(3, 'proprietary')", "(3, 'proprietary')", "(None, 'MIT')"]
