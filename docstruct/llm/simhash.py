@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from docstruct.llm.common import arrow_map, batch, cut, texts
 
 SHINGLE, SEED, RADIUS, PIVOTS, BIN_ROWS = 4, 42, 4, 32, 20_000
+#: Min-hash bands of similar texts.
+BANDS, BAND_ROWS = 20, 5
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 _AT_ONCE = 1 << 16
 _PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row_key", pa.string())])
@@ -228,10 +230,61 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
 
 
-def _named(rows: DataFrame, radius: int, bin_rows: int) -> DataFrame:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes of ``BAND_ROWS`` min-hashes each, of a text's distinct shingle hashes."""
+    factor = references(2 * BANDS * BAND_ROWS)
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        x = hashes[i : i + (1 << 12), None] * (factor[: len(low)] | np.uint64(1)) + factor[len(low) :]
+        low = np.minimum(low, ((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(low[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(low), BAND_ROWS)], np.uint64).view(np.int64)
+
+
+def similar_links(docs: DataFrame, n: int, least: float, text_col: str = "text") -> DataFrame:
+    """``a, b``: fingerprints of texts whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
+
+    Texts of equal sets link to their smallest fingerprint. Of different sets, pairs that share a band are compared, all
+    of them, shingle by shingle; a pair of similarity 0.8 shares one with probability 0.9996.
+    """
+    schema = pa.schema([("set", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [(t, np.unique(shingle_hashes(t, n))) for t in texts(b.column(0))]
+            held = [(t, h) for t, h in held if len(h)]
+            if held:
+                yield batch(schema, [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for _, h in held], np.array([fingerprint(t) for t, _ in held], np.uint64).view(np.int64), [band_keys(h) for _, h in held], [t for t, _ in held])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for a, z, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = (np.unique(shingle_hashes(v, n)) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= least * (len(x) + len(y) - both):
+                    kept.append((a, z))
+            if kept:
+                yield batch(_LINK, *zip(*kept, strict=True))
+
+    rows = cut(arrow_map(docs, read, "set long, fp long, keys array<long>, text binary", F.col(text_col).cast("string").alias("text")))
+    sets = rows.groupBy("set").agg(F.min("fp").alias("fp"))
+    same = rows.select("set", "fp").join(sets.withColumnRenamed("fp", "b"), "set").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    bands = rows.select("set", F.posexplode("keys").alias("band", "key")).distinct()
+    met = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    bands = cut(bands.join(met, ["band", "key"]))
+    pairs = cut(bands.withColumnRenamed("set", "s").join(bands.withColumnRenamed("set", "t"), ["band", "key"]).where("s < t").select("s", "t").distinct())
+    needed = pairs.select(F.col("s").alias("set")).union(pairs.select("t")).distinct()
+    shown = cut(rows.select("set", "fp", "text").join(needed, "set").groupBy("set").agg(F.min("fp").alias("fp"), F.min("text").alias("text")))
+    left, right = shown.toDF("s", "a", "x"), shown.toDF("t", "b", "y")
+    close = pairs.join(left, "s").join(right, "t").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    return cut(same.union(close.where("a <> b")))
+
+
+def _named(rows: DataFrame, radius: int, bin_rows: int, similar: DataFrame | None = None) -> DataFrame:
     """``fp, component_id, stays``: of each distinct fingerprint its component, and the key of the row that stays of it."""
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first")))
-    labels = cut(components(link_prints(prints.select("fp"), radius, bin_rows)))
+    links = link_prints(prints.select("fp"), radius, bin_rows)
+    labels = cut(components(links if similar is None else links.union(similar)))
     named = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     return cut(whole.join(named.select("fp", "label"), "label").select("fp", "component_id", F.col("first.row_key").alias("stays")))
@@ -244,10 +297,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_R
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS, shingle: int | None = None, jaccard: float = 0.8) -> DataFrame:
     """One document of each component: that of the smallest identifier, else of the smallest text hash; columns unchanged.
 
-    Rows that repeat the identifier that stays all stay.
+    With ``shingle``, texts whose sets of that many words have a Jaccard similarity of ``jaccard`` link too. Rows that repeat
+    the identifier that stays all stay.
     """
-    named = _named(cut(fingerprints(docs)), radius, bin_rows)
+    named = _named(cut(fingerprints(docs)), radius, bin_rows, None if shingle is None else similar_links(docs, shingle, jaccard))
     return docs.join(named.select(F.col("stays").alias("_stays")).distinct(), row_key() == F.col("_stays"), "left_semi")

@@ -89,6 +89,25 @@ def test_cases(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def test_near_copies_of_similarity_0_8_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, go = [], set()
+    for k in range(60):
+        words = [word() for _ in range(200)]
+        docs.append((2 * k, words))
+        changed = list(words)
+        for at in rng.sample(range(200), 1 + k % 8):
+            changed[at] = word()
+        a, b = shingles(words), shingles(changed)
+        docs.append((2 * k + 1, changed))
+        if len(a & b) >= 0.8 * len(a | b):
+            go.add(2 * k + 1)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), shingle=5).collect()}
+    assert not kept & go and kept >= {2 * k for k in range(60)} and len(go) > 20
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     prints = [plain_print(d.text) for d in docs]
