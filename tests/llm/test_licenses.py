@@ -1,3 +1,6 @@
+import random
+import textwrap
+
 import pytest
 import zstandard
 
@@ -39,12 +42,51 @@ def test_several_in_one_text():
 PROSE = "The river rose in spring and the old mill stood under water for nine days before the men of the village came with carts to save what grain was left in it. "
 
 
-@pytest.mark.parametrize("before, after", [(60, 0), (100, 100), (400, 0), (800, 800)])
+@pytest.mark.parametrize("before, after", [(0, 0), (50, 0), (0, 50), (60, 0), (100, 100), (400, 0), (800, 800), (2000, 2000)])
 @pytest.mark.parametrize("name, text, keys", m.TEMPLATES)
 def test_prose_on_the_line(name, text, keys, before, after):
-    line = f"{(PROSE * 6)[:before]}. {text} {(PROSE * 6)[:after]}"
+    line = f"{(PROSE * 14)[:before]}. {text} {(PROSE * 14)[:after]}"
     (x,) = scanned(line)
-    assert (x.license, x.missing, x.extra) == (name, "", "") and text.rstrip(".") in line.encode()[x.first_byte : x.last_byte].decode() + text[-1:]
+    assert (x.license, x.missing, x.extra) == (name, "", "") and text.rstrip(".,") == line.encode()[x.first_byte : x.last_byte].decode()
+
+
+@pytest.mark.parametrize("name, text, keys", m.TEMPLATES)
+def test_wrapped(name, text, keys):
+    wrapped = textwrap.fill(f"{PROSE}{text} {PROSE}", 38, initial_indent=" # ", subsequent_indent=" # ")
+    assert [x.license for x in scanned(wrapped)] == [name]
+
+
+VARIANTS = {
+    "licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "the GNU Library General Public License, version 2": "LGPL-2.0", "GNU General Public License version 3.0": "GPL-3.0", "under the GNU GPL v3": "GPL-3.0",
+    "either version 2 of the License": None, "GNU General Public License, version 2.1": None, "the Apache License, Version 1.1": None, "MIT No Attribution License": None, "Licensed under CC BY-SA 3.0.": "CC-BY-SA-3.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "CC BY-NC-ND 4.0": "CC-BY-NC-ND-4.0",
+    "a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License": "CC-BY-NC-ND-3.0", "SPDX-License-Identifier: LGPL-2.1-only": "LGPL-2.1", "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0-or-later", "available under the Apache-2.0 terms": "Apache-2.0",
+    "the GNU General Public License, version 2 or any later version": "GPL-2.0-or-later",
+    f"{m.BSD_OPENS}:\n * {m.BSD_SOURCE[3:]}\n * {m.BSD_BINARY[3:]}": "BSD-2-Clause", f"{m.BSD_OPENS}:\n * {m.BSD_SOURCE[3:]}\n * {m.BSD_BINARY[3:]}\n * {m.BSD_NAMES[3:].replace('the copyright holder', 'Some Company')}": "BSD-3-Clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0BSD", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+}
+
+
+@pytest.mark.parametrize("text", VARIANTS)
+def test_variants(text):
+    for around in (text, f"{PROSE}{text} {PROSE}"):
+        assert [x.license for x in scanned(around)] == [v for v in [VARIANTS[text]] if v]
+
+
+def test_planted_against_brute_force(spark):
+    rng = random.Random(5)
+    words = PROSE.split()
+    planted = [(k, v) for k, v in VARIANTS.items() if v] + [(t, n) for n, t, _ in m.TEMPLATES]
+    docs, want = [], []
+    for d in range(400):
+        text = ""
+        for k, name in rng.choices(planted, k=rng.randint(0, 5)):
+            text += " ".join(rng.choices(words, k=rng.randint(0, 350))) + rng.choice([". ", "\n", " \n\n"])
+            want.append((d, len(text.encode()), name))
+            text += k + rng.choice([". ", "\n", ". \n"])
+        docs.append((d, text))
+    got = sorted((r.doc_id, r.first_byte, r.license) for r in m.find_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert [(d, n) for d, _, n in got] == [(d, n) for d, _, n in want]
+    assert all(abs(a - b) < 60 for (_, a, _), (_, b, _) in zip(got, want, strict=True))
 
 
 def test_several_on_one_line():
