@@ -18,7 +18,8 @@ Shards are written by range of the identifier, so that concatenated shards are i
 writes a file of its own; only the files in the manifest, which Spark commits once per partition, belong to the table.
 
 Cases: null text is empty and has the end id alone; null identifiers come first; repeated identifiers keep all their rows,
-in the order of their texts' hashes; an empty table gives no shard; other columns are not read.
+in the order of their texts' hashes; an empty table gives no shard; other columns are not read. A very long text is encoded
+whole, one at a time with its batch slice, and is one entry of a block of its own size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +63,8 @@ class Encoder:
     The pre-tokenizer cuts a text before each space that a printing character follows, and cuts letters from punctuation
     after them; it encodes what lies between cuts apart. So the ids of a text are those of its space-separated pieces in
     turn, and a piece's those of its letters and its tail. Distinct pieces of a batch are found by Arrow, and new words are
-    encoded many to a call: a word's first token, and no other, begins with the space. Texts with any other space are encoded
-    whole, in a call of their own.
+    encoded many to a call: a word's first token, and no other, begins with the space. Texts with any other space, or with an
+    added token of the tokenizer (such as its end of text), are encoded whole, in a call of their own.
     """
 
     def __init__(self, path: str, limit: int = 250_000, at_once: int = 50):
@@ -70,7 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -106,6 +108,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string array without nulls."""
+        apart = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            apart = apart | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        given, texts = texts, pc.if_else(pa.array(apart, pa.bool_()), "", texts)
         pieces = pc.split_pattern(texts, " ")
         bounds = pieces.offsets.to_numpy()
         coded = pieces.flatten().dictionary_encode()
@@ -131,8 +137,8 @@ class Encoder:
         ids = store[_spans((np.cumsum(sizes) - sizes)[code], own)]
         edges = np.append(0, np.cumsum(own))[bounds]
         out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        for i in np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)):
-            out[i] = np.frombuffer(self.whole([texts[i].as_py()])[0], self.dtype)
+        for i in np.flatnonzero(apart):
+            out[i] = np.frombuffer(self.whole([given[i].as_py()])[0], self.dtype)
         return out
 
 
@@ -189,7 +195,7 @@ class Writer:
         self.sink, self.width = sink, np.dtype(dtype).itemsize
         self.at = self.docs = self.ids = 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = array("Q")
         self.first = self.last = b""
         self._open()
 
@@ -211,7 +217,7 @@ class Writer:
         self.docs += 1
         self.ids += len(value) // self.width
         self.first, self.last = self.first or key, key
-        self.hashes.append(_hashes(key))
+        self.hashes.extend(_hashes(key))
         if self.size >= BLOCK_BYTES:
             self._close()
 
@@ -231,7 +237,9 @@ class Writer:
         index = b"".join(struct.pack("<H", len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index)
         bits = max(64, -(-self.docs * BLOOM_BITS // 8) * 8)
         marks = np.zeros(bits, np.uint8)
-        marks[_probes(np.array(self.hashes, np.uint64).reshape(-1, 2), BLOOM_PROBES, bits).ravel().astype(np.int64)] = 1
+        hashes = np.array(self.hashes, np.uint64).reshape(-1, 2)
+        for part in (hashes[i : i + (1 << 16)] for i in range(0, len(hashes), 1 << 16)):
+            marks[_probes(part, BLOOM_PROBES, bits).ravel().astype(np.int64)] = 1
         bloom = struct.pack("<I", BLOOM_PROBES) + np.packbits(marks, bitorder="little").tobytes()
         footer = FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.docs, self.ids, self.width, len(self.index), 0, MAGIC, 1)
         self.sink.write(index + bloom + footer)

@@ -20,7 +20,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -29,7 +28,7 @@ def encoder():
     return sstable.Encoder(tokenizer_path(), limit=50, at_once=3)
 
 
-ODD = ["", " ", "  ", "  a", "a ", "x  y", "\n a\n b", "don't 's 're x's", "<|endoftext|> b<|endoftext|>", "a\tb c", "中文 字 a b", "a b", "héé éa. b!'c", "é\n .a  \n", "a\x1cb \x1c c", "  a", "ab" * 5000 + " c.", "ǅa ßß .. !!? end"]
+ODD = ["", " ", "  ", "  a", "a ", "x  y", "\n a\n b", "don't 's 're x's", "<|endoftext|> b<|endoftext|>", "a\tb c", "中文 字 a b", "a b", "héé éa. b!'c", "é\n .a  \n", "a\x1cb \x1c c", "hello <|endoftext|> world", "x<|endoftext|>", "<|endoftext", "a <|endoftext|><|endoftext|> b. c", "  a", "ab" * 5000 + " c.", "ǅa ßß .. !!? end"]
 
 
 def test_odd_texts(encoder, plain):
@@ -40,6 +39,7 @@ def test_odd_texts(encoder, plain):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="ab É.,'! \n\t1x 字'", max_size=30), max_size=6))
 def test_any_text(encoder, plain, texts):
+    texts = [t.replace("1", "<|endoftext|>") for t in texts]
     assert [list(x) for x in encoder.encode(pa.array(texts, pa.string()))] == [plain(t) for t in texts]
 
 
