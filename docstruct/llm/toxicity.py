@@ -8,7 +8,8 @@ from the sample's class rate to that of all labels. Presence, not counts: a few
 
 Cases: null text is empty, and an empty text scores by the intercept; repeated rows have equal scores; without labelled rows
 of both classes each score is the share of toxic labels, 0.5 if there are none; an empty table gives no rows; other
-columns are not read. Texts are handled whole, one at a time, in parts of bounded size that overlap.
+columns are not read. Texts are handled whole, one at a time, in parts of bounded size that overlap. To the driver come two
+counts for each of the ``BUCKETS`` and at most ``FEATURES`` places for each sampled row, whatever the texts' lengths.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import arrow_map, batch, held_out, texts
+from docstruct.llm.common import arrow_map, batch, cut, held_out, texts
 from docstruct.llm.training import labelled_ids, labelled_texts
 
 PER_CLASS, FEATURES, LEAST_CHI, LENGTHS, BITS, THRESHOLD = 2_000, 8_192, 20.0, (3, 4, 5, 6), 20, 0.5
@@ -65,24 +66,23 @@ def constant(share: float) -> Model:
     return Model(np.zeros(BUCKETS, np.int16), np.zeros(1), float(np.log(share / (1 - share))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, share: float, features: int = FEATURES, least: float = LEAST_CHI, rounds: int = 300, l2: float = 1e-3) -> Model:
-    """From each text's distinct buckets, its label, and the share of toxic rows to expect."""
-    n1 = int(y.sum())
-    n0 = len(y) - n1
-    if not n1 or not n0:
-        return constant(share)
-    a = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    b = np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if not v] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
+def choose(a: np.ndarray, b: np.ndarray, n1: int, n0: int, features: int = FEATURES, least: float = LEAST_CHI) -> tuple[np.ndarray, np.ndarray]:
+    """Kept buckets, ascending, and the log-count ratio of each, from the toxic and other texts that hold each bucket."""
     ratio = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
-    e = (a + b) / len(y)
-    chi = np.divide((a - e * n1) ** 2, e * (1 - e) * n1 * n0 / len(y), out=np.zeros(BUCKETS), where=(e > 0) & (e < 1))
+    e = (a + b) / (n1 + n0)
+    chi = np.divide((a - e * n1) ** 2, e * (1 - e) * n1 * n0 / (n1 + n0), out=np.zeros(len(a)), where=(e > 0) & (e < 1))
     top = np.argsort(-chi, kind="stable")[:features]
     top = np.sort(top[chi[top] >= least])
+    return top, ratio[top]
+
+
+def fit(cols: list[np.ndarray], y: np.ndarray, top: np.ndarray, ratio: np.ndarray, share: float, rounds: int = 300, l2: float = 1e-3) -> Model:
+    """From the places in ``top`` of each text's buckets, its label, and the share of toxic rows to expect."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
     slot = np.full(BUCKETS, len(top), np.int16)
     slot[top] = np.arange(len(top))
-    r = np.append(ratio[top], 0.0)
-    cols = [np.unique(slot[x]) for x in rows]
-    cols = [c[c < len(top)] for c in cols]
+    r = np.append(ratio, 0.0)
     col, row = np.concatenate(cols).astype(np.int64), np.repeat(np.arange(len(y)), [len(c) for c in cols])
     values = r[col]
     w, bias, step_w, step_b = np.zeros(len(r)), 0.0, np.zeros(len(r)), 0.0
@@ -101,17 +101,45 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, features: int = FEA
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """From at most ``per_class`` labelled documents of each class; of rows that repeat an identifier the smallest counts."""
+    """From at most ``per_class`` labelled documents of each class; of rows that repeat an identifier the smallest counts.
+
+    Each sampled text's buckets are written to the shared folder. The rows that hold a bucket are summed there by class, so
+    that the driver sees two numbers a bucket, and then the kept buckets of each row alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(buckets(t)).astype("<i4").tobytes() for t in texts(b.column(2))], pa.binary())], names=["id", "label", "x"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            for label, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[label, np.frombuffer(x.as_py(), "<i4")] += 1
+        some = np.flatnonzero(held.any(axis=0))
+        for at in range(0, len(some), 1 << 16):
+            own = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[1, own]), pa.array(held[0, own])], names=["bucket", "a", "b"])
+
     ids, counts = labelled_ids(labels, "toxic", per_class, by_class=True)
     found = arrow_map(labelled_texts(docs, ids), run, "id long, label int, x binary", "_id", "_label", "text")
-    kept = found.groupBy("id", "label").agg(F.min("x").alias("x")).select("id", "label", "x").toArrow().sort_by("id")
-    total = sum(counts.values())
-    return fit([np.frombuffer(x, "<i4") for x in kept["x"].to_pylist()], np.array(kept["label"].to_pylist(), np.float64), counts.get(1, 0) / total if total else 0.5)
+    kept = cut(found.groupBy("id", "label").agg(F.min("x").alias("x")))
+    total, own = sum(counts.values()), {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()}
+    share = counts.get(1, 0) / total if total else 0.5
+    if not own.get(1) or not own.get(0):
+        return constant(share)
+    summed = kept.select("label", "x").mapInArrow(count, "bucket int, a long, b long").groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    a, b = np.zeros((2, BUCKETS), np.int64)
+    a[summed["bucket"].to_numpy()], b[summed["bucket"].to_numpy()] = summed["a"].to_numpy(), summed["b"].to_numpy()
+    top, ratio = choose(a, b, own[1], own[0])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            chosen = [np.flatnonzero(np.isin(top, np.frombuffer(x.as_py(), "<i4"), assume_unique=True)).astype("<i2").tobytes() for x in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(chosen, pa.binary())], names=["id", "label", "x"])
+
+    rows = kept.mapInArrow(places, "id long, label int, x binary").toArrow().sort_by("id")
+    return fit([np.frombuffer(x, "<i2") for x in rows["x"].to_pylist()], np.array(rows["label"].to_pylist(), np.float64), top, ratio, share)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,3 +98,58 @@ def test_parts_of_long_texts_meet(monkeypatch):
     whole = set(toxicity.buckets(text).tolist())
     monkeypatch.setattr(toxicity, "_PART", 64)
     assert set(toxicity.buckets(text).tolist()) == whole
+
+
+def plain_buckets(text):
+    line, out = b" " + b" ".join(text.lower().split()) + b" ", set()
+    for i in range(len(line)):
+        h = 0
+        for n in range(1, 7):
+            if i + n > len(line):
+                break
+            h = (h * 0x01000193 + line[i + n - 1] + 1) % 2**32
+            if n >= 3:
+                x = h * 0x9E3779B1 % 2**32
+                out.add((x ^ x >> 15) * 0x85EBCA77 % 2**32 >> 12)
+    return out
+
+
+def test_toxicity_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted((r.doc_id, known[r.doc_id], plain_buckets((r.text or "").encode())) for r in docs.collect() if r.doc_id in known)
+    n1 = sum(y for _, y, _ in rows)
+    a, b = np.zeros((2, toxicity.BUCKETS), np.int64)
+    for _, y, x in rows:
+        (a if y else b)[list(x)] += 1
+    top, ratio = toxicity.choose(a, b, n1, len(rows) - n1)
+    place = {int(v): k for k, v in enumerate(top)}
+    want = toxicity.fit([np.array(sorted(place[v] for v in x if v in place), "<i2") for _, _, x in rows], np.array([y for _, y, _ in rows], float), top, ratio, n1 / len(rows))
+    model = toxicity.train(docs, labels)
+    assert (model.slot == want.slot).all() and np.allclose(model.weight, want.weight) and abs(model.bias - want.bias) < 1e-9 and len(top) > 50
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.limit(150).collect():
+        at = model.bias + sum(model.weight[place[v]] for v in plain_buckets((r.text or "").encode()) if v in place)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-at)), abs=1e-9)
+
+
+def test_quality_against_a_plain_walk(spark):
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.train(docs, labels)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, trees).collect()}
+    for r in docs.limit(200).collect():
+        x, total = quality.statistics((r.text or "").encode()), trees.base
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (x[f[node]] > t[node])
+            total += leaf[node - len(f)]
+        p = 1 / (1 + np.exp(-total))
+        assert got[r.doc_id] == (pytest.approx(p, abs=1e-9), int(p >= 0.3))
+
+
+def test_statistics_by_hand():
+    x = dict(zip(quality.NAMES, quality.statistics(b"One two two!\nx|Y 12\n\n"), strict=True))
+    assert x["log_bytes"] == pytest.approx(np.log(22)) and x["log_words"] == pytest.approx(np.log(6)) and x["word_mean"] == pytest.approx(15 / 5)
+    assert (x["distinct"], x["top"], x["lines"]) == (1.0, 0.2, pytest.approx(np.log(3))) and x["upper"] == pytest.approx(2 / 21) and x["digit"] == pytest.approx(2 / 21)
+    assert x["bang"] == pytest.approx(1 / 21) and x["bar"] == pytest.approx(1 / 5) and x["capital_words"] == pytest.approx(1 / 5) and x["short_lines"] == 1.0
