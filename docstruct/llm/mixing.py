@@ -6,7 +6,8 @@ over its words.
 
 Cases: null text has no words; null is a source like any other, last in order; a source without words has the target 0 and
 its documents are not emitted; repeated rows take the same decision, since it hangs on identifier, text and seed alone; an
-empty table gives an empty mix; other columns are kept by :func:`emit` and not read by :func:`mix_plan`.
+empty table gives an empty mix; other columns are kept by :func:`emit` and not read by :func:`mix_plan`; a very long text
+is counted and hashed whole, as any other.
 """
 
 from __future__ import annotations
@@ -28,26 +29,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """``source, source_size, nth`` of each source, ``nth`` counting from 0 in the order of code points, null last.
+
+    One sort by range, whose written partitions each know their rows' places; the rows of the partitions before are summed
+    over one row a partition. No task sees more sources than its range.
+    """
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = cut(rows.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)})
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("source", "source_size", (F.col("before") + F.col("place")).alias("nth"))
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``source, source_size, target`` of each source, from ``source, size`` rows.
 
     Weights are handed out by the order of the sources' code points. A target is ``least(most * size, weight * level)``,
-    with the one level at which targets add up to ``share`` of all words: sharing an excess again by weight until no
-    source is above its bound ends there. Sorted by bound over weight, the bounded sources come first, so running sums
-    over that order find the level. The windows run over one row a source.
+    with the one level at which targets add up to ``share`` of all words. It is found as the mix is told: the level of all
+    sources, then again of those that are not above their bound, until none is. Each round is one aggregate of the sources
+    with one row to the driver, sums are whole numbers, and the level only rises, so rounds end, in practice after a few.
     """
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    rows = rows.withColumn("nth", nth).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("nth") % len(WEIGHTS) + 1))
-    bound = (F.col("source_size") * most).cast("double")
-    order = Window.orderBy(F.col("bound") / F.col("weight"), "nth")
-    before, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("bound", bound)
-    rows = rows.withColumns({"place": F.row_number().over(order), "level": (F.sum("source_size").over(every) * share - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(rest)})
-    free = F.when(F.col("bound") > F.col("weight") * F.col("level"), F.struct("place", "level"))
-    first = F.min(free).over(every)
-    rows = rows.withColumn("first", first)
-    target = F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), F.col("bound")).otherwise(F.col("weight") * F.col("first.level"))
+    rows = cut(ranked_sources(sizes).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("nth") % len(WEIGHTS) + 1).cast("int"))).withColumn("bound", F.col("source_size") * most))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, bounded = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("bound") <= F.col("weight") * F.lit(level)
+        n, held, weights = rows.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("bound"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not weights or n == bounded:
+            break
+        bounded, level = n, (total * share - held) / weights
+    target = F.col("bound").cast("double") if not weights else F.least(F.col("bound").cast("double"), F.col("weight") * F.lit(level))
     return rows.select("source", "source_size", target.alias("target"))
 
 

@@ -61,3 +61,23 @@ def test_sql(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix_digest(spark.read.parquet(f"{MEDIUM}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_many_sources_by_range(spark):
+    names = [f"{chr(97 + i % 26)}{i}é" for i in range(700)] + [None, "", "Z", "\U0001f600"]
+    sizes = spark.createDataFrame([(n, 1 + i % 9) for i, n in enumerate(names)] * 2, "source string, size long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.nth, r.source, r.source_size) for r in mixing.ranked_sources(sizes).collect())
+        targets = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
+    size = {n: 2 * (1 + i % 9) for i, n in enumerate(names)}
+    assert got == [(i, n, size[n]) for i, n in enumerate(order)]
+    assert targets == pytest.approx(filled(size, {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}, 1.5 * sum(size.values())))
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "ab " * 700_000, "a"), (2, "x", "b")], SCHEMA)
+    assert {r.doc_id: r["size"] for r in mixing.mix_digest(docs).collect()} == {1: 700_000, 2: 1}
