@@ -41,7 +41,7 @@ def test_random_rules(spark):
     path = lambda: "/" + "/".join(rng.choice(["x", "xy", "z"]) for _ in range(rng.randint(0, 3)))
     rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(rng.randint(1, 4)), path()) for _ in range(300))}.values())
     urls = [f"http://{host(rng.randint(1, 5))}{path()}{rng.choice(['', '?q', '#f', '/'])}" for _ in range(1500)]
-    assert judged(spark, urls, rules, salts=3) == [plain(x, rules) for x in urls]
+    assert judged(spark, urls, rules, task_hosts=40) == [plain(x, rules) for x in urls]
 
 
 def test_cases(spark):
@@ -57,3 +57,14 @@ def test_sql_and_plan(spark):
     assert sorted(con.sql(u.JUDGE_SQL).fetchall()) == sorted(tuple(r) for r in out.collect())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop")) and "html" not in plan
+
+
+def test_very_long_url(spark):
+    urls = ["http://example.com/en/" + "x" * 200_000, "http://" + "a." * 300 + "com/", "http://" + "y" * 100_000]
+    assert judged(spark, urls, list(u.RULES)) == [plain(x, u.RULES) for x in urls]
+
+
+def test_many_rules_of_one_host(spark):
+    rules = [("com", f"/{k}/", "block" if k % 2 else "allow") for k in range(2000)] + [("com", "", "block")]
+    urls = [f"http://h{k % 50}.com/{k}/x" for k in range(0, 4000, 7)]
+    assert judged(spark, urls, rules, task_hosts=10) == [plain(x, rules) for x in urls]
