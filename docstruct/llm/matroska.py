@@ -5,8 +5,13 @@ laced blocks, Xiph, EBML and fixed-size lacing in turn, and cues to every cluste
 chance, so equal payloads give equal files. The reader walks elements by their variable-length identifiers and sizes,
 unknown sizes of segment and clusters included, and undoes all lacings.
 
+Timestamps are in ticks of the file's own scale and in nanoseconds; frames of a lace follow each other by the track's default
+duration.
+
 Cases of the columns: null text is empty; an empty text is padded to one block of 576 bytes 255; equal texts give equal
 values; repeated rows stay; an empty table gives no rows; other columns are not read. A text is handled whole, one at a time.
+A damaged file ends no job: its row says why in ``error``, after the packets that stand before the damage; a null file has
+no packets and no features.
 """
 
 from __future__ import annotations
@@ -149,6 +154,7 @@ def mux(payload: bytes) -> bytes:
 class Packet(NamedTuple):
     track: int
     timestamp: int
+    nanoseconds: int
     first_byte: int
     last_byte: int
     cluster: int
@@ -162,6 +168,7 @@ class Media(NamedTuple):
     clusters: list[int]
     cues: list[tuple[int, int, int]]
     scale: int
+    error: str | None
 
 
 def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
@@ -171,6 +178,8 @@ def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         size, at = read_vint(data, at)
         stop = end if size is None else at + size
         if stop > end:
+            if ident in (SEGMENT, CLUSTER):  # what is there is looked at before the damage is told
+                yield ident, at, end
             raise ValueError("an element runs over its parent's end")
         if size is None and ident == CLUSTER:
             stop = at
@@ -188,33 +197,47 @@ def _uint(data: bytes, at: int, end: int) -> int:
     return int.from_bytes(data[at:end], "big")
 
 
-def _block(data: bytes, at: int, end: int, cluster: int, began: int, simple: bool, out: list[Packet], tracks: dict) -> None:
+def _block(data: bytes, at: int, end: int, cluster: int, began: int, simple: bool, scale: int, out: list[Packet], tracks: dict) -> None:
     track, at = read_vint(data, at)
     ticks, flags = struct.unpack_from(">hB", data, at)
-    kind, time = flags >> 1 & 3, began + ticks
-    step = (tracks.get(track, {}).get("default_duration", 0) or 0) // 1_000_000
+    kind, time = flags >> 1 & 3, (began + ticks) * scale
+    step = tracks.get(track, {}).get("default_duration", 0) or 0
     for k, (lo, hi) in enumerate(unlace(data, at + 3, end, kind)):
-        out.append(Packet(track, time + k * step, lo, hi, cluster, kind, bool(flags & 0x80) or not simple))
+        out.append(Packet(track, (time + k * step) // scale, time + k * step, lo, hi, cluster, kind, bool(flags & 0x80) or not simple))
+
+
+def _track(data: bytes, at: int, end: int) -> tuple[int, dict[str, object]]:
+    of = {k: (x, y) for k, x, y in _children(data, at, end)}
+    audio = {k: (x, y) for k, x, y in _children(data, *of[AUDIO])} if AUDIO in of else {}
+    known = lambda held, k: _uint(data, *held[k]) if k in held else None
+    return _uint(data, *of[TRACK_NUMBER]), {"type": known(of, TRACK_TYPE), "codec": data[slice(*of[CODEC_ID])].decode(errors="replace") if CODEC_ID in of else None, "default_duration": known(of, DEFAULT_DURATION), "bits": known(audio, BIT_DEPTH)}
 
 
-def demux(data: bytes) -> Media:
-    """Packet table, tracks, cluster offsets (from the segment's start) and cues; byte ranges count from the file's start."""
+def _parts(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """Each element of a segment: the segment's start, identifier, start and end."""
+    for ident, at, end in _children(data, 0, len(data)):
+        if ident == SEGMENT:
+            for part, lo, hi in _children(data, at, end):
+                yield at, part, lo, hi
+
+
+def demux(data: bytes, strict: bool = True) -> Media:
+    """Packet table, tracks, cluster offsets (from the segment's start) and cues; byte ranges count from the file's start.
+
+    A damaged file raises ``ValueError``; unless ``strict``, what stands before the damage is given with the ``error``.
+    """
     packets: list[Packet] = []
     tracks: dict[int, dict[str, object]] = {}
-    clusters, cues, scale = [], [], 1_000_000
-    for ident, at, end in _children(data, 0, len(data)):
-        if ident != SEGMENT:
-            continue
-        segment, seen = at, at
-        for part, lo, hi in _children(data, at, end):
+    clusters, cues, scale, error = [], [], 1_000_000, None
+    try:
+        seen, segment = None, None
+        for segment_at, part, lo, hi in _parts(data):
+            if segment_at != segment:
+                seen = segment = segment_at
             if part == INFO:
-                scale = next((_uint(data, a, b) for i, a, b in _children(data, lo, hi) if i == TIMESTAMP_SCALE), scale)
+                scale = next((_uint(data, a, b) for i, a, b in _children(data, lo, hi) if i == TIMESTAMP_SCALE), scale) or 1_000_000
             elif part == TRACKS:
-                for i, a, b in _children(data, lo, hi):
-                    if i == TRACK_ENTRY:
-                        of = {k: (x, y) for k, x, y in _children(data, a, b)}
-                        audio = {k: (x, y) for k, x, y in _children(data, *of[AUDIO])} if AUDIO in of else {}
-                        tracks[_uint(data, *of[TRACK_NUMBER])] = {"type": _uint(data, *of[TRACK_TYPE]), "codec": data[slice(*of[CODEC_ID])].decode(), "default_duration": _uint(data, *of[DEFAULT_DURATION]) if DEFAULT_DURATION in of else None, "bits": _uint(data, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else None}
+                tracks.update(_track(data, a, b) for i, a, b in _children(data, lo, hi) if i == TRACK_ENTRY)
             elif part == CLUSTER:
                 clusters.append(seen - segment)
                 began = 0
@@ -222,11 +245,11 @@ def demux(data: bytes) -> Media:
                     if i == TIMESTAMP:
                         began = _uint(data, a, b)
                     elif i == SIMPLE_BLOCK:
-                        _block(data, a, b, len(clusters) - 1, began, True, packets, tracks)
+                        _block(data, a, b, len(clusters) - 1, began, True, scale, packets, tracks)
                     elif i == BLOCK_GROUP:
                         for k, x, y in _children(data, a, b):
                             if k == BLOCK:
-                                _block(data, x, y, len(clusters) - 1, began, False, packets, tracks)
+                                _block(data, x, y, len(clusters) - 1, began, False, scale, packets, tracks)
             elif part == CUES:
                 for i, a, b in _children(data, lo, hi):
                     if i == CUE_POINT:
@@ -234,7 +257,13 @@ def demux(data: bytes) -> Media:
                         place = {k: _uint(data, x, y) for k, x, y in _children(data, *point[CUE_TRACK_POSITIONS])}
                         cues.append((_uint(data, *point[CUE_TIME]), place[CUE_TRACK], place[CUE_CLUSTER_POSITION]))
             seen = hi
-    return Media(packets, tracks, clusters, cues, scale)
+        if segment is None:
+            raise ValueError("no segment")
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        if strict:
+            raise ValueError(str(e) or type(e).__name__) from e
+        error = f"{type(e).__name__}: {e}"
+    return Media(packets, tracks, clusters, cues, scale, error)
 
 
 def read_payload(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -248,15 +277,16 @@ def feature(data: bytes, media: Media, payload: bytes) -> str:
     n, total, squares = len(samples), int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
     mean = total / n if n else 0.0
     spread = max(0.0, squares / n - mean * mean) ** 0.5 if n else 0.0
-    led = sum(c[2] in set(media.clusters) for c in media.cues)
+    clusters = set(media.clusters)
+    led = sum(c[2] in clusters for c in media.cues)
     histogram = np.bincount(samples >> 5, minlength=8)
     return f"packets={len(media.packets)};clusters={len(media.clusters)};laces={','.join(map(str, kinds))};cues={led}/{len(media.cues)};end={media.packets[-1].timestamp if media.packets else 0};mean={mean:.4f};sd={spread:.4f};bins={','.join(map(str, histogram))}"
 
 
-PACKETS = "id long, packet int, track int, timestamp long, first_byte long, last_byte long, cluster int, lacing int, keyframe boolean"
+PACKETS = "id long, packet int, track int, timestamp long, nanoseconds long, first_byte long, last_byte long, cluster int, lacing int, keyframe boolean, error string"
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_PACKETS = pa.schema([("id", pa.int64()), ("packet", pa.int32()), ("track", pa.int32()), ("timestamp", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("cluster", pa.int32()), ("lacing", pa.int32()), ("keyframe", pa.bool_())])
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_PACKETS = pa.schema([("id", pa.int64()), ("packet", pa.int32()), ("track", pa.int32()), ("timestamp", pa.int64()), ("nanoseconds", pa.int64()), ("first_byte", pa.int64()), ("last_byte", pa.int64()), ("cluster", pa.int32()), ("lacing", pa.int32()), ("keyframe", pa.bool_()), ("error", pa.string())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
 #: Stored bytes in one Arrow batch, about.
 _BATCH = 16 << 20
 
@@ -280,29 +310,40 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each packet of each file, in file order. Null files have none."""
+    """A row for each packet of each file, in file order, and one with ``error`` alone after those of a damaged file. Null files have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ident, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if data.is_valid and (found := demux(data.as_py()).packets):
-                    yield batch(_PACKETS, [ident] * len(found), list(range(len(found))), *zip(*found, strict=True))
+                if not data.is_valid:
+                    continue
+                found = demux(data.as_py(), strict=False)
+                if found.packets:
+                    yield batch(_PACKETS, [ident] * len(found.packets), list(range(len(found.packets))), *zip(*found.packets, strict=True), [None] * len(found.packets))
+                if found.error:
+                    yield batch(_PACKETS, [ident], *[[None]] * (len(_PACKETS) - 2), [found.error])
 
     return arrow_map(media, run, PACKETS, F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and the feature of each stored file, all from the file's bytes."""
+    """Digests and the feature of each stored file, all from the file's bytes; of a damaged one its own digest and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, n, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = value.as_py()
-                found = demux(data)
+                if data is None:
+                    rows.append((doc_id, n, *[None] * 7))
+                    continue
+                found = demux(data, strict=False)
+                if found.error:
+                    rows.append((doc_id, n, None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, found.error))
+                    continue
                 payload = read_payload(data, found)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, found, payload)))
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(data, found, payload), None))
             if rows:
                 yield batch(_FEATURES, *zip(*rows, strict=True))
 
-    return arrow_map(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "doc_id", "n_bytes", "media")
+    return arrow_map(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string", "doc_id", "n_bytes", "media")

@@ -36,9 +36,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstruct.llm.common import cut
     from docstruct.llm.matroska import media_column, media_features
 
-    return media_features(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_features(cut(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

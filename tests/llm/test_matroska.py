@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docstruct.llm import matroska as m
+from docstruct.llm.registry import op4_matroska
+from tests.conftest import SMALL
 
 
 @given(st.integers(0, (1 << 56) - 2))
@@ -56,6 +58,44 @@ def test_damaged():
         m.demux(data[:-40])
 
 
+def test_scale_of_the_file():
+    data = m.mux(m.payload_of(b"y" * 576 * 3))
+    assert [(p.timestamp, p.nanoseconds) for p in m.demux(data).packets] == [(0, 0), (12, 12_000_000), (24, 24_000_000)]
+    at = data.index(m.number(m.TIMESTAMP_SCALE, 1_000_000))
+    for scale, ticks in ((2_000_000, [0, 6, 12]), (500_000, [0, 24, 48])):
+        other = data[:at] + m.element(m.TIMESTAMP_SCALE, scale.to_bytes(3, "big")) + data[at + 7 :]
+        assert [(p.timestamp, p.nanoseconds) for p in m.demux(other).packets] == [(t, 12_000_000 * k) for k, t in enumerate(ticks)]
+
+
+def test_damaged_files_in_columns(spark):
+    whole = m.mux(m.payload_of(b"z" * 576 * 20))
+    files = [(1, whole), (2, whole[:-40]), (3, b""), (4, b"\0\0"), (5, None), (6, whole[:700]), (7, b"not a file of this kind at all")]
+    media = spark.createDataFrame([(i, 0, f) for i, f in files], "doc_id long, n_bytes long, media binary")
+    told = {r.id for r in m.packet_table(media).where("error is not null").collect()}
+    counts = {r.id: r["count"] for r in m.packet_table(media).where("error is null").groupBy("id").count().collect()}
+    assert told == {2, 3, 4, 6, 7} and counts[1] == 20 and counts[2] == 20 and 5 not in counts
+    out = {r.doc_id: r for r in m.media_features(media).collect()}
+    assert {i for i, r in out.items() if r.error} == told and out[1].payload_bytes == 576 * 20 and out[5].media_bytes is None and out[6].media_bytes == 700
+
+
+def test_documents_against_brute_force(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    out = op4_matroska(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        text = docs[r.doc_id]
+        payload = text + b"\xff" * (576 - len(text) % 576 if len(text) % 576 or not text else 0)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), None)
+        frames, counts = len(payload) // 576, [0] * 8
+        for c in payload:
+            counts[c >> 5] += 1
+        mean = sum(payload) / len(payload)
+        sd = (sum(c * c for c in payload) / len(payload) - mean * mean) ** 0.5
+        clusters = -(-frames // 256)
+        assert r.feature.startswith(f"packets={frames};clusters={clusters};") and f";cues={clusters}/{clusters};end={12 * (frames - 1)};mean={mean:.4f};sd={sd:.4f};bins={','.join(map(str, counts))}" in r.feature
+        assert len(payload) < r.media_bytes < len(payload) * 1.05 + 400
+
+
 def test_columns(spark):
     data = [(1, None), (2, ""), (3, "é" * 1000), (4, "é" * 1000), (3, "é" * 1000), (None, "x" * 2_000_000)]
     docs = spark.createDataFrame([(*r, b"m") for r in data], "doc_id long, text string, media binary")
@@ -63,6 +103,7 @@ def test_columns(spark):
     out = m.media_features(media).collect()
     assert len(out) == 6
     by = {r.doc_id: r for r in out}
+    assert not any(r.error for r in out)
     for d, t in data:
         payload, r = m.payload_of((t or "").encode()), by[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
