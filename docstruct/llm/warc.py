@@ -11,8 +11,14 @@ per partition, names the archives that count. Dates are a parameter, so reruns w
 
 Cases: null html is an empty payload; empty payloads are equal to each other; a null url writes no target; control
 characters and white space in a url are percent-encoded in the archive; a null identifier is never an original where its
-digest has another; rows that repeat an original's identifier and payload are that original again, each a response; an
-empty table gives no archive; other columns are not read.
+digest has another; rows that repeat an original's identifier and payload are that original again, each a response, and
+have one record identifier, which is made of the page's and the payload's digest; an empty table gives no archive; other
+columns are not read; a very long payload is handled whole, one record at a time.
+
+The reader takes other archives as well, compressed by member, as a whole, or not at all: records other than responses,
+revisits and resources are passed over; identifiers that aren't of this writer give a null ``page_id`` and stay in
+``record_id`` and ``refers_to_id``; a payload digest that isn't a SHA-1 in base 32 is worked out from the payload, and is null for a revisit
+that tells none; a response that does not match its own digest or length, and a damaged rest of a file, tell ``error``.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ DATE, PROFILE = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit
 MIN_BYTES = 0
 _ID = "urn:x-page:"
 _MANIFEST = pa.schema([("archive", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string, offset long, length long"
-_RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string, offset long, length long, record_id string, refers_to_id string, error string"
+_RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("error", pa.string())])
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -46,8 +52,8 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
 
 
-def _name(page_id: int | None) -> str:
-    return f"<{_ID}{'' if page_id is None else page_id}>"
+def _name(page_id: int | None, digest: str) -> str:
+    return f"<{_ID}{'' if page_id is None else page_id}:{digest}>"
 
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None = None, first_url: str | None = None, n_bytes: int | None = None, date: str = DATE) -> bytes:
@@ -55,11 +61,11 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     n = len(payload) if n_bytes is None else n_bytes
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", _name(page_id)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", _name(page_id, digest)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if url is not None:
         head.append(("WARC-Target-URI", _uri(url)))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _name(first)), ("WARC-Refers-To-Date", date)] + ([("WARC-Refers-To-Target-URI", _uri(first_url))] if first_url is not None else [])
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _name(first, digest)), ("WARC-Refers-To-Date", date)] + ([("WARC-Refers-To-Target-URI", _uri(first_url))] if first_url is not None else [])
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -86,16 +92,84 @@ def members(source, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Named fields (lower case) and block of a record."""
     head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode(errors="replace").split("\r\n")
     if not found or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not fields.get("content-length", "").isdigit():
+        raise ValueError("a record without a length")
     n = int(fields["content-length"])
     if len(rest) != n + 4:
         raise ValueError("a block of another length than stated")
     return fields, rest[:n]
 
 
+def plain_records(source, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each record of an archive that is not compressed, or is one stream; holds one record and one read."""
+    at, data = 0, b""
+    while True:
+        while (end := data.find(b"\r\n\r\n")) < 0 and (more := source.read(size)):
+            data += more
+        if not data.strip():
+            return
+        found = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", data[: max(end, 0)])
+        if found is None:
+            raise ValueError("a record without a length")
+        n = end + 4 + int(found[1]) + 4
+        parts, held = [data], len(data)
+        while held < n and (more := source.read(size)):
+            parts.append(more)
+            held += len(more)
+        data = b"".join(parts)
+        if len(data) < n:
+            raise ValueError("the archive is cut short")
+        yield at, n, data[:n]
+        at, data = at + n, data[n:]
+
+
+class _Joined:
+    """The content of gzip members as one stream."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts = parts
+
+    def read(self, size: int) -> bytes:
+        return next((p for p in self.parts if p), b"")
+
+
+def inflated(source, size: int = 1 << 20) -> Iterator[bytes]:
+    """What a compressed stream holds, a bounded part at a time."""
+    d, data = zlib.decompressobj(31), b""
+    while data or (data := source.read(size)):
+        if d.eof:
+            d = zlib.decompressobj(31)
+        yield d.decompress(data, size)
+        data = d.unconsumed_tail or d.unused_data
+    if not d.eof:
+        raise ValueError("the archive is cut short")
+
+
+def records(open_source) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each record, however the archive is compressed. ``open_source`` opens it from its start."""
+    with open_source() as source:
+        head = source.read(2)
+    if head != b"\x1f\x8b":
+        with open_source() as source:
+            yield from plain_records(source)
+        return
+    with open_source() as source:  # the first record's end tells whether it is a member of its own
+        first = next(plain_records(_Joined(inflated(source))), None)
+    with open_source() as source:
+        d, got = zlib.decompressobj(31), 0
+        while first is not None and not d.eof and got <= len(first[2]) and (data := d.unconsumed_tail or source.read(1 << 20)):
+            got += len(d.decompress(data, len(first[2]) + 1 - got))
+    with open_source() as source:
+        if first is not None and d.eof and got == len(first[2]):
+            yield from members(source)
+        else:  # offsets are then of the content
+            yield from plain_records(_Joined(inflated(source)))
+
+
 def resolve(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, html, n_bytes, first, first_url``; ``first`` is null for a response."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -130,32 +204,64 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES, date:
     resolve(pages, min_bytes).mapInArrow(write, "archive int, path string, records long, bytes long").write.parquet(f"{out}/manifest")
 
 
-def read_archives(spark: SparkSession, out: str) -> DataFrame:
-    """A row for each record; a response's length and digest are of the payload read, a revisit's those it states."""
-    archives = spark.read.schema("archive int, path string, records long, bytes long").parquet(f"{out}/manifest")
+def _page(name: str | None) -> int | None:
+    own = (name or "").strip("<>").removeprefix(_ID).partition(":")[0]
+    return int(own) if (name or "").strip("<>").startswith(_ID) and re.fullmatch(r"-?\d{1,18}", own) else None
+
+
+def _told(fields: dict[str, str], block: bytes) -> tuple[int | None, str | None, str | None]:
+    """Length and digest of a record's payload, and what is wrong with it."""
+    http, kind = fields.get("content-type", "").startswith("application/http"), fields["warc-type"]
+    head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    stated = stated if re.fullmatch("[A-Z2-7]{32}", stated) else None
+    size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head + b"\r\n")
+    if kind == "revisit":
+        return int(size[1]) if size else None, stated, None
+    coded = re.search(rb"(?i)\r\n(?:content|transfer)-encoding:[ \t]*(?!identity)\w", head)
+    digest, wrong = base32_sha1(payload), None
+    if stated is not None and stated != digest:
+        wrong = "a payload of another digest than stated"
+    elif size and not coded and int(size[1]) != len(payload):
+        wrong = "a payload of another length than stated"
+    return len(payload), digest, wrong
+
+
+def read_files(paths: DataFrame, path_col: str = "path", tasks: int = 1, strict: bool = False) -> DataFrame:
+    """A row for each response, revisit or resource of the archives at ``path``, a file being one task's work at most; ``strict`` ends the job at an error."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = lambda x: int(x) if (x := x.strip("<>").removeprefix(_ID)) else None
         for b in batches:
             for path in b.column(0).to_pylist():
                 where, name = open_fs(path)
-                rows = []
-                with where.open_input_stream(name, compression=None) as source:
-                    for at, n, data in members(source):
+                rows, at, n = [], 0, 0
+                try:
+                    for at, n, data in records(lambda: where.open_input_stream(name, compression=None)):
                         fields, block = parse(data)
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-                        length = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-                        if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-                            raise ValueError("a payload that its record does not describe")
-                        rows.append((page(fields["warc-record-id"]), length, digest, kind, page(fields["warc-refers-to"]) if kind == "revisit" else None, fields.get("warc-target-uri"), path, at, n))
+                        if (kind := fields.get("warc-type")) not in ("response", "revisit", "resource"):
+                            continue
+                        length, digest, wrong = _told(fields, block)
+                        if wrong and strict:
+                            raise ValueError(wrong)
+                        ident, to = fields.get("warc-record-id"), fields.get("warc-refers-to") if kind == "revisit" else None
+                        rows.append((_page(ident), length, digest, kind, _page(to), fields.get("warc-target-uri"), path, at, n, ident, to, wrong))
                         if len(rows) == 4096:
                             yield batch(_RECORDS, *zip(*rows, strict=True))
                             rows = []
+                except (ValueError, OSError, zlib.error) as e:
+                    if strict:
+                        raise
+                    rows.append((*[None] * 6, path, at + n, None, None, None, f"{type(e).__name__}: {e}"))
                 if rows:
                     yield batch(_RECORDS, *zip(*rows, strict=True))
 
-    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, RECORDS)
+    return paths.select(F.col(path_col).alias("path")).repartition(max(1, tasks)).mapInArrow(read, RECORDS)
+
+
+def read_archives(spark: SparkSession, out: str) -> DataFrame:
+    """The records of the archives that a manifest names; a response's length and digest are of the payload read, a revisit's those it states."""
+    archives = spark.read.schema("archive int, path string, records long, bytes long").parquet(f"{out}/manifest")
+    return read_files(archives, tasks=archives.count(), strict=True)
 
 
 def originals(records: DataFrame) -> DataFrame:

@@ -58,3 +58,32 @@ def test_sql(spark):
     con.execute(f"create view pages as select * from '{MEDIUM}/pages.parquet'")
     want = con.sql(warc.WARC_SQL).fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in op6_warc(spark, MEDIUM).collect())
+
+
+FOREIGN = [
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 4\r\n\r\nGET \r\n\r\n",
+    b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: http://x/\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 40\r\n\r\nHTTP/1.1 200 OK\r\nServer: s\r\n\r\nbody body\n\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Payload-Digest: sha1:AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 20\r\n\r\nHTTP/1.1 200 OK\r\n\r\nb\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:4>\r\nWARC-Refers-To: <urn:uuid:2>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:5>\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nplain\r\n\r\n",
+]
+
+
+@pytest.mark.parametrize("form", ["members", "stream", "plain", "cut"])
+def test_foreign_archives(spark, tmp_path, form):
+    whole = b"".join(FOREIGN)
+    data = {"members": b"".join(map(gzip.compress, FOREIGN)), "stream": gzip.compress(whole), "plain": whole, "cut": b"".join(map(gzip.compress, FOREIGN))[:-30]}[form]
+    (tmp_path / "a.warc").write_bytes(data)
+    got = sorted((tuple(r) for r in warc.read_files(spark.createDataFrame([(str(tmp_path / "a.warc"),)], "path string")).select("record_id", "record_type", "payload_bytes", "payload_digest", "refers_to_id", "url", "page_id", "error").collect()), key=str)
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = [("<urn:uuid:2>", "response", 10, sha(b"body body\n"), None, "http://x/", None, None), ("<urn:uuid:3>", "response", 1, sha(b"b"), None, None, None, "a payload of another digest than stated"), ("<urn:uuid:4>", "revisit", None, None, "<urn:uuid:2>", None, None, None), ("<urn:uuid:5>", "resource", 5, sha(b"plain"), None, None, None, None)]
+    if form == "cut":
+        want = want[:3] + [(None, None, None, None, None, None, None, "ValueError: the archive is cut short")]
+    assert got == sorted(want, key=str)
+
+
+def test_plain_records_over_small_reads():
+    whole = b"".join(FOREIGN) * 3
+    found = list(warc.plain_records(__import__("io").BytesIO(whole), size=5))
+    assert [d for _, _, d in found] == FOREIGN * 3 and [whole[a : a + n] for a, n, _ in found] == FOREIGN * 3
