@@ -38,11 +38,35 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` now and read it back from the shared folder: its lineage ends there and survives lost executors."""
+    """Run ``df`` now and read it back from the shared folder: its lineage ends there and survives lost executors.
+
+    The table goes when the driver's JVM ends, or with :func:`release`.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, "cut")
+    folder, where = _hadoop(spark, path)
+    folder.deleteOnExit(where)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docstruct_cut = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`cut` that nothing reads any more."""
+    folder, where = _hadoop(df.sparkSession, df._docstruct_cut)
+    folder.delete(where, True)
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` under column names that clash with nothing, and these names in order."""
+    names = [f"_docstruct_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

@@ -15,9 +15,18 @@ breadth first and gives each member its component's smallest fingerprint: a star
 ``bin_rows`` is dealt out: its rows go to chunks by hash and each pair of chunks is a task's work of its own, so no task
 holds more than two chunks and no pair is left out. Components over all bins come from alternating star contractions.
 
+Documents whose sets of five-word shingles are alike to 0.8 differ in some ten bits, too many for bit blocks. For these
+(``deduplicate`` with ``shingle``) the bins are min-hash bands instead, of texts of equal shingle sets one row: 32 bands of 7
+rows, so that a pair of similarity 0.8 shares one with probability 0.9995, and a more similar one all the surer. Each member of
+a bin is held against the bin's smallest first; then, in bins that still hold more than one component, members of
+different components against each other. Pairs within a component are never made. The pivot tables discard with the radius ``WIDE``, and
+what survives is verified by its exact similarity. In a bin of many texts that are unlike each other but share the
+band all pairs are held against each other: n rows in a bin cost n * n / 2 comparisons, dealt out by chunks.
+
 Cases: null and empty texts have the fingerprint 0 and link like any other; texts of fewer than four words have one
 shingle, their whole sequence; repeated rows and ties share a fingerprint; a null identifier is no smallest identifier, and
-a component of none but nulls has a null ``component_id``; an empty table gives no rows; other columns are not read.
+a component of none but nulls has a null ``component_id``; an empty table gives no rows; other columns are not read. A very
+long text is hashed whole, its bits counted a part at a time.
 """
 
 from __future__ import annotations
@@ -31,14 +40,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import arrow_map, batch, cut, texts
+from docstruct.llm.common import arrow_map, batch, cut, release, set_aside, texts
 
 SHINGLE, SEED, RADIUS, PIVOTS, BIN_ROWS = 4, 42, 4, 32, 20_000
-#: Min-hash bands of similar texts.
-BANDS, BAND_ROWS = 20, 5
+#: Min-hash bands of similar texts, and the bits in which fingerprints of their sets may differ: at similarity 0.8 these
+#: differ in 9.7 bits with a deviation of 2.9.
+BANDS, BAND_ROWS, WIDE = 32, 7, 24
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 _AT_ONCE = 1 << 16
-_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("row_key", pa.string())])
+_PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("mark", pa.binary())])
+_SET = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("set", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -56,9 +68,8 @@ def shingle_hashes(text: bytes, n: int = SHINGLE, seed: int = SEED) -> np.ndarra
     return np.array([hashed(line[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
-    """Unsigned."""
-    hashes = shingle_hashes(text)
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned: the bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _AT_ONCE):
         part = hashes[i : i + _AT_ONCE]
@@ -66,20 +77,24 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes) -> int:
+    return majority(shingle_hashes(text))
+
+
+def mark(text: Column) -> Column:
+    """What tells texts apart: 128 bits."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, row_key``: the fingerprint as a signed long, and a hash of identifier and text."""
+    """``doc_id, fp, mark``: the fingerprint as a signed long, and the text's mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t) for t in texts(b.column(1))], np.uint64).astype(np.int64)
             yield batch(_PRINT, b.column(0), prints, b.column(2))
 
-    return arrow_map(docs, run, "doc_id long, fp long, row_key string", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
-
-
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """What tells rows apart: the identifier, or the text's hash where it is null."""
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    return arrow_map(docs, run, "doc_id long, fp long, mark binary", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark(F.col(text_col)).alias("mark"))
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -189,12 +204,7 @@ def link_prints(prints: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROW
     spark = prints.sparkSession
     n = prints.count()
     rows = bins(prints, radius, 2 + (n > 30_000_000) + (n > 2_000_000_000))
-    full = cut(rows.groupBy("bin").count().where(F.col("count") > bin_rows))
-    if full.head() is not None:
-        chunks = F.ceil(F.col("count") / bin_rows).cast("int")
-        own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), chunks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64(F.col("bin"), F.least(c, own), F.greatest(c, own)))
-        rows = rows.join(full, "bin", "left").select(F.explode(F.when(F.col("count").isNull(), F.array("bin")).otherwise(pairs)).alias("bin"), "fp")
+    rows = dealt(rows, rows.groupBy("bin").count(), bin_rows, F.col("fp"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(lambda it: bin_links(it, radius), "a long, b long")
 
@@ -222,7 +232,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        edges = cut(small(star(edges)))
+        edges, done = cut(small(star(edges))), edges
+        release(done)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -233,75 +244,181 @@ def components(links: DataFrame) -> DataFrame:
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """``BANDS`` hashes of ``BAND_ROWS`` min-hashes each, of a text's distinct shingle hashes."""
     factor = references(2 * BANDS * BAND_ROWS)
+    times, plus = factor[: BANDS * BAND_ROWS] | np.uint64(1), factor[BANDS * BAND_ROWS :]
     low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        x = hashes[i : i + (1 << 12), None] * (factor[: len(low)] | np.uint64(1)) + factor[len(low) :]
-        low = np.minimum(low, ((x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    for i in range(0, len(hashes), 1 << 11):
+        low = np.minimum(low, (hashes[i : i + (1 << 11), None] * times + plus).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(low[k : k + BAND_ROWS].tobytes(), k) for k in range(0, len(low), BAND_ROWS)], np.uint64).view(np.int64)
 
 
-def similar_links(docs: DataFrame, n: int, least: float, text_col: str = "text") -> DataFrame:
-    """``a, b``: fingerprints of texts whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
+def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mark, set, fp, keys``: the mark of the text, that of its set of ``n``-word shingles, the set's fingerprint and bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingle_hashes(t, n)) for t in texts(b.column(1))]
+            prints = np.array([majority(h) for h in held], np.uint64).view(np.int64)
+            yield batch(_SET, b.column(0), b.column(2), [xxhash.xxh3_128_digest(h.tobytes()) for h in held], prints, [band_keys(h) if len(h) else [] for h in held])
+
+    return arrow_map(docs, run, "doc_id long, mark binary, set binary, fp long, keys array<long>", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark(F.col(text_col)).alias("mark"))
+
 
-    Texts of equal sets link to their smallest fingerprint. Of different sets, pairs that share a band are compared, all
-    of them, shingle by shingle; a pair of similarity 0.8 shares one with probability 0.9996.
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``a, b`` of which the sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
+
+    ``sets`` names one row, by identifier and mark, for each set; its shingles are hashed once.
     """
-    schema = pa.schema([("set", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("text", pa.binary())])
+    shown = pa.schema([("set", pa.binary()), ("h", pa.binary())])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [(t, np.unique(shingle_hashes(t, n))) for t in texts(b.column(0))]
-            held = [(t, h) for t, h in held if len(h)]
-            if held:
-                yield batch(schema, [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for _, h in held], np.array([fingerprint(t) for t, _ in held], np.uint64).view(np.int64), [band_keys(h) for _, h in held], [t for t, _ in held])
+            yield batch(shown, b.column(0), [np.unique(shingle_hashes(t, n)).tobytes() for t in texts(b.column(1))])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for a, z, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = (np.unique(shingle_hashes(v, n)) for v in (x, y))
+            for a, z, x, y in zip(*b.columns, strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= least * (len(x) + len(y) - both):
-                    kept.append((a, z))
+                    kept.append((a.as_py(), z.as_py()))
+            if kept:
+                yield batch(_PAIR, *zip(*kept, strict=True))
+
+    needed = sets.join(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "set").select("set", F.col("rep.doc_id").alias("i"), F.col("rep.mark").alias("m"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(needed, rows["doc_id"].eqNullSafe(F.col("i")) & (rows["mark"] == F.col("m"))).select("set", "text").dropDuplicates(["set"])
+    held = cut(found.mapInArrow(hashes, "set binary, h binary"))
+    return cut(pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"))
+
+
+def far_pairs(batches: Iterator[pa.RecordBatch], radius: int = WIDE, n_pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that the pivot table leaves, from rows sorted by bin: ``bin, set, fp, label, center``.
+
+    A bin's center has been held against all its members before. Keeps the batch and the bin that is not yet at its end.
+    """
+    pivots = references(n_pivots)
+
+    def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names, prints = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+        label, center = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = np.flatnonzero(~center[lo:hi]) + lo
+            table = pivot_table(prints[own], pivots)
+            own, table = own[order := np.argsort(table[0], kind="stable")], table[:, order]
+            kept = []
+            for k in range(len(own) - 1):
+                end = int(np.searchsorted(table[0], table[0][k] + radius, side="right"))
+                near = np.arange(k + 1, end)
+                near = near[label[own[near]] != label[own[k]]]
+                for row in table[1:]:
+                    if not len(near):
+                        break
+                    near = near[np.abs(row[near] - row[k]) <= radius]
+                near = near[np.bitwise_count(prints[own[near]] ^ prints[own[k]]) <= radius]
+                kept += [(min(names[own[k]], names[own[j]]), max(names[own[k]], names[own[j]])) for j in near.tolist()]
+                if len(kept) > 1 << 15:
+                    yield batch(_PAIR, *zip(*kept, strict=True))
+                    kept = []
             if kept:
-                yield batch(_LINK, *zip(*kept, strict=True))
-
-    rows = cut(arrow_map(docs, read, "set long, fp long, keys array<long>, text binary", F.col(text_col).cast("string").alias("text")))
-    sets = rows.groupBy("set").agg(F.min("fp").alias("fp"))
-    same = rows.select("set", "fp").join(sets.withColumnRenamed("fp", "b"), "set").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    bands = rows.select("set", F.posexplode("keys").alias("band", "key")).distinct()
-    met = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    bands = cut(bands.join(met, ["band", "key"]))
-    pairs = cut(bands.withColumnRenamed("set", "s").join(bands.withColumnRenamed("set", "t"), ["band", "key"]).where("s < t").select("s", "t").distinct())
-    needed = pairs.select(F.col("s").alias("set")).union(pairs.select("t")).distinct()
-    shown = cut(rows.select("set", "fp", "text").join(needed, "set").groupBy("set").agg(F.min("fp").alias("fp"), F.min("text").alias("text")))
-    left, right = shown.toDF("s", "a", "x"), shown.toDF("t", "b", "y")
-    close = pairs.join(left, "s").join(right, "t").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
-    return cut(same.union(close.where("a <> b")))
-
-
-def _named(rows: DataFrame, radius: int, bin_rows: int, similar: DataFrame | None = None) -> DataFrame:
-    """``fp, component_id, stays``: of each distinct fingerprint its component, and the key of the row that stays of it."""
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("first")))
-    links = link_prints(prints.select("fp"), radius, bin_rows)
-    labels = cut(components(links if similar is None else links.union(similar)))
-    named = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    whole = named.groupBy("label").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
-    return cut(whole.join(named.select("fp", "label"), "label").select("fp", "component_id", F.col("first.row_key").alias("stays")))
+                yield batch(_PAIR, *zip(*kept, strict=True))
+
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end:
+            yield from pairs(b.slice(0, end))
+        rest = b.slice(end)
+    if rest is not None:
+        yield from pairs(rest)
+
+
+def dealt(rows: DataFrame, sizes: DataFrame, bin_rows: int, member: Column) -> DataFrame:
+    """``rows`` with those of the bins of over ``bin_rows`` rows copied to a bin for each pair of chunks; ``sizes`` has ``bin, count``."""
+    full = cut(sizes.where(F.col("count") > bin_rows).select("bin", "count"))
+    if full.head() is None:
+        return rows
+    chunks = F.ceil(F.col("count") / bin_rows).cast("int")
+    own = F.pmod(F.xxhash64(member, F.lit(1)), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.xxhash64(F.col("bin"), F.least(c, own), F.greatest(c, own)))
+    others = [F.col(c) for c in rows.columns if c != "bin"]
+    return rows.join(full, "bin", "left").select(F.explode(F.when(F.col("count").isNull(), F.array("bin")).otherwise(pairs)).alias("bin"), *others)
+
+
+def similar_labels(docs: DataFrame, rows: DataFrame, n: int, least: float, bin_rows: int = BIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``name, label`` of the sets that similarity links to others; ``rows`` as of :func:`shingle_sets`."""
+    sets = cut(rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    bands = sets.select("set", "fp", F.explode("keys").alias("bin"))
+    met = cut(bands.groupBy("bin").count().where("count > 1"))
+    bands = bands.join(met.select("bin"), "bin")
+    centers = cut(bands.groupBy("bin").agg(F.min(F.struct("set", "fp")).alias("c")))
+    bands = cut(bands.join(centers, "bin").select("bin", "set", "fp", F.col("c.set").alias("center"), F.col("c.fp").alias("center_fp")))
+    stars = bands.where((F.col("set") != F.col("center")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("center_fp"))) <= WIDE))
+    links = verified(cut(stars.select(F.col("set").alias("a"), F.col("center").alias("b")).distinct()), sets, docs, n, least, id_col, text_col)
+    labels = cut(components(links))
+    named = cut(bands.join(labels.toDF("set", "label"), "set", "left").select("bin", "set", "fp", F.xxhash64(F.coalesce("label", "set")).alias("label"), (F.col("set") == F.col("center")).alias("center")))
+    mixed = cut(named.groupBy("bin").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo <> hi and count > 2").select("bin", "count"))
+    if mixed.head() is None:
+        return labels
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = dealt(named.join(mixed.select("bin"), "bin"), mixed, bin_rows, F.col("set"))
+    pairs = cut(rest.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(far_pairs, "a binary, b binary").distinct())
+    if pairs.head() is None:
+        return labels
+    return cut(components(links.union(verified(pairs, sets, docs, n, least, id_col, text_col))))
+
+
+def print_labels(prints: DataFrame, radius: int, bin_rows: int) -> DataFrame:
+    """``fp, label`` of each distinct fingerprint in ``fp``, its own where nothing links."""
+    labels = cut(components(link_prints(prints.select("fp"), radius, bin_rows)))
+    return prints.join(labels.toDF("fp", "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
-    rows = cut(fingerprints(docs))
-    named = _named(rows, radius, bin_rows).drop("stays")
+    rows = cut(fingerprints(docs).drop("mark"))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = cut(print_labels(prints, radius, bin_rows))
+    whole = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    named = cut(named.select("fp", "label").join(whole, "label").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS, shingle: int | None = None, jaccard: float = 0.8) -> DataFrame:
-    """One document of each component: that of the smallest identifier, else of the smallest text hash; columns unchanged.
+def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS, shingle: int | None = None, jaccard: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each component, columns unchanged: that of the smallest identifier, nulls last, then of the smallest text's hash.
 
-    With ``shingle``, texts whose sets of that many words have a Jaccard similarity of ``jaccard`` link too. Rows that repeat
-    the identifier that stays all stay.
+    Texts link whose fingerprints differ in ``radius`` bits or fewer, or, with ``shingle``, whose sets of that many words have a
+    Jaccard similarity of ``jaccard`` or more. Of rows that repeat identifier and text one stays, that of the smallest
+    hash of all its columns.
     """
-    named = _named(cut(fingerprints(docs)), radius, bin_rows, None if shingle is None else similar_links(docs, shingle, jaccard))
-    return docs.join(named.select(F.col("stays").alias("_stays")).distinct(), row_key() == F.col("_stays"), "left_semi")
+    if shingle is None:
+        rows = cut(fingerprints(docs, id_col, text_col).withColumnRenamed("fp", "name"))
+        labels = cut(print_labels(cut(rows.select(F.col("name").alias("fp")).distinct()), radius, bin_rows).toDF("name", "label"))
+    else:
+        sets = cut(shingle_sets(docs, shingle, id_col, text_col))
+        labels = similar_labels(docs, sets, shingle, jaccard, bin_rows, id_col, text_col)
+        labels, rows = labels.toDF("name", "label"), sets.select("doc_id", "mark", F.col("set").alias("name"))
+    # a row for each text under each identifier, and the first of each component
+    own = rows.groupBy("name", "doc_id", "mark").agg(F.count("*").alias("n")).join(labels, "name", "left").select("doc_id", "mark", "n", F.coalesce("label", "name").alias("label"))
+    own = cut(own)
+    first = cut(own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("f")))
+    told = own.join(first, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("mark") == F.col("f.mark")))
+    told = cut(told.where("not stays or n > 1").select(F.col("doc_id").alias("_docstruct_id"), F.col("mark").alias("_docstruct_mark"), "stays"))
+    aside, names = set_aside(docs)
+    key_id, key_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    same = key_id.cast("long").eqNullSafe(F.col("_docstruct_id")) & (mark(key_text) == F.col("_docstruct_mark"))
+    kept = aside.join(told.drop("stays"), same, "left_anti")
+    repeated = told.where("stays").drop("stays")
+    if repeated.head() is not None:
+        again = aside.join(repeated, same).groupBy("_docstruct_id", "_docstruct_mark").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("r"))
+        kept = kept.union(again.select("r.*"))
+    return kept.toDF(*docs.columns)
