@@ -1,6 +1,10 @@
 """The corpus pipeline: documents to token shards. Part of ``docstruct.llm``.
 
 Each stage works on all that the one before it kept. The first four return the columns of documents.
+
+Cases: null texts count as empty, and empty texts are rejected by the classifier or are copies of each other; repeated rows
+are copies; columns beside ``doc_id``, ``text`` and ``source`` are carried to the mix, whatever their names; an empty table gives no
+rows; very long texts go through whole.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.llm import decontaminate, mixing, quality, simhash, sstable
-from docstruct.llm.common import cut
+from docstruct.llm.common import cut, release
 from docstruct.llm.registry import tokenizer_path
 
 
@@ -18,8 +22,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest identifier."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near copies, that of the smallest identifier.
+
+    Near copies are texts whose sets of five-word shingles are alike to 0.8, and what a chain of these reaches.
+    """
+    return simhash.deduplicate(docs, shingle=5, jaccard=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents, each to what the one before it kept, written and read again between them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            if written is not None:
+                release(written)
+            written = docs
     return docs
