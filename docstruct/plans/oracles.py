@@ -133,7 +133,7 @@ OUTLINES = ", ".join((CLASSED, HEADS.format(t=strip("text"), name="classed"), TI
   docs AS (SELECT DISTINCT doc_id FROM classed),
   named AS (SELECT doc_id, coalesce(nullif(title, ''), 'Untitled Document') AS title FROM docs LEFT JOIN titles USING (doc_id))"""))
 FAKE = ", ".join((LINES, f"""fake AS (SELECT *, CASE WHEN k = 0 THEN 'title' WHEN k < 3 THEN 'h1' WHEN k < 6 THEN 'h2' WHEN k < 9 THEN 'h3' ELSE 'text' END AS predicted_class, (k % 4)::DOUBLE / 4 AS confidence, font_size / 11 AS ratio
-  FROM (SELECT *, (doc_id * 31 + seq * 7) % 11 AS k FROM lines WHERE length(text) < 120 AND length({strip('text')}) > 0))""", HEADS.format(t=strip("text"), name="fake"), TITLES.format(y="y0")))
+  FROM (SELECT *, (doc_id * 31 + seq * 7) % 11 AS k FROM lines WHERE length({strip('text')}) > 0))""", HEADS.format(t=strip("text"), name="fake"), TITLES.format(y="y0")))
 
 
 def headered(name: str, out: str) -> str:
@@ -184,14 +184,14 @@ def add(name: str, body: str, *ctes: str) -> None:
 
 
 add("flt_valid_blocks", f"SELECT doc_id, seq, text, font_size FROM lines WHERE length({strip('text')}) >= 3 AND font_size > 0", LINES)
-add("prj_repair", "SELECT doc_id, seq, page_number, round(greatest(CASE WHEN seq % 3 > 0 THEN font_size / 30 ELSE 12 END, 1), 6) AS font_size, CASE WHEN seq % 5 > 0 THEN font_name ELSE 'unknown' END AS font_name, font_flags, CASE WHEN seq % 7 > 0 THEN x0 ELSE 0 END AS x0, CASE WHEN seq % 7 > 0 THEN y0 ELSE 0 END AS y0, CASE WHEN seq % 7 > 0 THEN x1 ELSE 0 END AS x1, CASE WHEN seq % 7 > 0 THEN y1 ELSE 0 END AS y1 FROM lines WHERE page_number <= 2", LINES)
+add("prj_repair", "SELECT doc_id, seq, page_number, round(greatest(CASE WHEN seq % 3 > 0 THEN font_size / 30 ELSE 12 END, 1), 6) AS font_size, CASE WHEN seq % 5 > 0 THEN font_name ELSE 'unknown' END AS font_name, font_flags, CASE WHEN seq % 7 > 0 THEN x0 ELSE 0 END AS x0, CASE WHEN seq % 7 > 0 THEN y0 ELSE 0 END AS y0, CASE WHEN seq % 7 > 0 THEN x1 ELSE 0 END AS x1, CASE WHEN seq % 7 > 0 THEN y1 ELSE 0 END AS y1 FROM lines WHERE page_number <= 50", LINES)
 add("txt_collapse_ws", f"SELECT doc_id, coalesce({collapse(uni('text'))}, '') AS text FROM documents")
 add("txt_whitespace", f"SELECT doc_id, {white('t')} AS text FROM (SELECT doc_id, replace(text, '. ', '.  ' || chr(9) || chr(10) || ' ' || chr(10)) AS t FROM documents)")
 add("txt_clean", f"SELECT doc_id, {clean('t')} AS text FROM (SELECT doc_id, replace(replace(text, '.', '!!!!!'), ',', ',-,-' || chr(7)) AS t FROM documents)")
 add("txt_bullets_numbers", f"SELECT doc_id, seq, {special('t')} AS text FROM (SELECT doc_id, seq, CASE seq % 3 WHEN 0 THEN seq || ')' WHEN 1 THEN '▪ ' ELSE '7.2  ' END || text AS t FROM lines)", LINES)
 add("txt_normalize", f"SELECT doc_id, seq, {norm('text')} AS text FROM numbered", NUMBERS)
 add("txt_sentences", f"SELECT doc_id, unnest(l[1:100]) AS sentence, unnest(range(0, len(l[1:100])))::INT AS place FROM (SELECT doc_id, {SENTENCE.format(x='text')} AS l FROM documents)")
-add("txt_query_section", f"SELECT doc_id, nullif(substr({strip(chr(39) * 2 + ' || coalesce(source, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(nullif(lang, ' + q('en') + '), ' + chr(39) * 2 + ')')}, 1, 1000), '') AS query, CASE WHEN length(source || '. ' || text) > 500 THEN substr(source || '. ' || text, 1, 500) || '...' ELSE source || '. ' || text END AS section FROM documents")
+add("txt_query_section", f"SELECT doc_id, nullif(substr({strip(chr(39) * 2 + ' || coalesce(source, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(nullif(lang, ' + q('en') + '), ' + chr(39) * 2 + ')')}, 1, 1000), '') AS query, CASE WHEN length(source || '. ' || text) > 5000 THEN substr(source || '. ' || text, 1, 5000) || '...' ELSE source || '. ' || text END AS section FROM documents")
 add("txt_paths", r"SELECT page_id, string_split(url, '/')[-1] AS basename, regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1) AS stem FROM pages")
 add("agg_doc_font_stats", "SELECT doc_id, round(avg(font_size), 6) AS avg_font_size, max(font_size) AS max_font_size, min(font_size) AS min_font_size, list_sort(list(font_size))[count(*) // 2 + 1] AS median_font_size, round(coalesce(stddev_samp(font_size), 0), 6) AS std_font_size, count(*) AS total_blocks, max(page_number) AS total_pages FROM orders_ GROUP BY doc_id", ORDERS)
 add("agg_top_fonts", "SELECT doc_id, rank, font_name, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen)::INT AS rank FROM (SELECT doc_id % 500 AS doc_id, font_name, count(*) AS n, min(10 * doc_id + seq) AS seen FROM orders_ GROUP BY doc_id % 500, font_name)) WHERE rank <= 5", ORDERS)

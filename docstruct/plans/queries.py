@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +63,7 @@ def flt_valid_blocks(spark, d):
 @query
 def prj_repair(spark, d):
     rows = lines(spark, d).withColumns({"font_size": F.when(F.col("seq") % 3 > 0, F.col("font_size") / 30), "font_name": F.when(F.col("seq") % 5 > 0, F.col("font_name")), "bbox": F.when(F.col("seq") % 7 > 0, F.col("bbox"))})
-    done = layout.repair(rows, replace(SETTINGS, max_pages=2))
+    done = layout.repair(rows)
     return done.select("doc_id", "seq", "page_number", r6("font_size").alias("font_size"), "font_name", "font_flags", *flat(done))
 
 
@@ -104,7 +103,7 @@ def txt_sentences(spark, d):
 @query
 def txt_query_section(spark, d):
     q = text.query_text(F.col("source"), F.nullif(F.col("lang"), F.lit("en")))
-    return table(spark, d, "documents").select("doc_id", q.alias("query"), text.section_text(F.col("source"), F.col("text"), 500).alias("section"))
+    return table(spark, d, "documents").select("doc_id", q.alias("query"), text.section_text(F.col("source"), F.col("text"), SETTINGS.section_chars).alias("section"))
 
 
 @query
@@ -256,7 +255,7 @@ def cls_cascade(spark, d):
 def _headings(spark: SparkSession, d: str) -> DataFrame:
     """Lines with classes and confidences from arithmetic, so that each level, titles and ties come up."""
     k = (F.col("doc_id") * 31 + F.col("seq") * 7) % 11
-    rows = lines(spark, d).where((F.length("text") < 120) & (F.length(text.strip(F.col("text"))) > 0))
+    rows = lines(spark, d).where(F.length(text.strip(F.col("text"))) > 0)
     rows = rows.withColumns({"predicted_class": F.when(k == 0, "title").when(k < 3, "h1").when(k < 6, "h2").when(k < 9, "h3").otherwise("text"), "confidence": (k % 4).cast("double") / 4, "position_y": F.col("bbox.y0"), "font_size_ratio": F.col("font_size") / 11})
     return outline.headings(rows)
 
@@ -384,7 +383,7 @@ def rel_sections(spark, d):
 def rel_sentences(spark, d):
     found, ranked = _ranked(spark, d)
     embed = relevance.hashed_arrow(DIM)
-    asked = spark.range(1).select(embed(F.lit(f"{ROLE} {TASK}")).alias("vector")).crossJoin(_collections(spark, d).select("collection"))
+    asked = _collections(spark, d).select("collection", embed(F.lit(f"{ROLE} {TASK}")).alias("vector"))
     rows = relevance.top_sentences(relevance.first_match(relevance.top_sections(ranked), found), asked, embed)
     return rows.select("collection", "importance_rank", "document", "page_number", "refined_text", "sentence_count", r6("avg_similarity").alias("avg_similarity"))
 

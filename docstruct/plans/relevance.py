@@ -12,9 +12,12 @@ from docstruct.schema import SETTINGS, Settings
 
 
 def document_sections(spans: DataFrame, names: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Sections with ``collection`` and ``document``; ``names`` has these for each ``doc_id``."""
+    """Sections with ``collection`` and ``document``; ``names`` has these for each ``doc_id``, of any type.
+
+    ``seq`` becomes a struct of document and place, which orders the sections of a collection.
+    """
     rows = sections(spans, settings).join(names, "doc_id")
-    return rows.withColumn("seq", F.col("doc_id") * 1_000_000 + F.col("seq"))
+    return rows.withColumn("seq", F.struct("doc_id", "seq"))
 
 
 def relevance(spans: DataFrame, names: DataFrame, collections: DataFrame, stamp: Column, embed: Embedder | None = None, settings: Settings = SETTINGS) -> DataFrame:

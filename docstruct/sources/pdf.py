@@ -93,6 +93,8 @@ def pdf_metadata(files: DataFrame) -> DataFrame:
                     row = (path, list(doc.metadata().items()), len(doc.pages()), False, True)
                 except PdfError as e:
                     row = (path, [], None, e.code == "PASSWORD_PROTECTED", e.code != "OPEN_FAILED" and e.code != "EMPTY_FILE")
+                except Exception:  # one file's fault is that file's row
+                    row = (path, [], None, False, True)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, metadata map<string,string>, page_count int, is_encrypted boolean, is_pdf boolean")

@@ -61,6 +61,15 @@ def test_output(spark, cooking):
     assert all(x.refined_text for x in out.subsection_analysis) and out.subsection_analysis[0].refined_text.startswith("Learn to cook with these basic cooking techniques.")
 
 
+def test_documents_of_string_identifiers(spark):
+    rows = [("file:/a/b.pdf", i, t, 1, None, z, "F", 0) for i, (t, z) in enumerate([("Cooking Basics For Home", 20.0), ("Learn basic cooking techniques here.", 10.0), ("Gardens", 20.0), ("Plants grow slowly in the shade.", 10.0)])]
+    spans = spark.createDataFrame(rows, SPANS.replace("doc_id bigint", "doc_id string"))
+    names = spark.createDataFrame([("file:/a/b.pdf", "C", "b.pdf")], "doc_id string, collection string, document string")
+    config = spark.createDataFrame([("C", None, [("b.pdf", "B")], ("home cook",), ("learn cooking techniques",))], "collection string, " + COLLECTION)
+    out = relevance(spans, names, config, F.lit("now")).first()
+    assert [(x.document, x.section_title) for x in out.extracted_sections] == [("b.pdf", "Cooking Basics For Home"), ("b.pdf", "Gardens")]
+
+
 def test_whole_plan(spark):
     lines = [(1, "Cooking Basics For Home", 20.0), (1, "Learn basic cooking techniques here, step by step.", 10.0), (1, "Gardens Of The World", 20.0), (1, "Plants grow slowly in the shade of trees.", 10.0)]
     spans = spark.createDataFrame([(d, i, t, 1, (0.0, 20.0 * i, 9.0, 20.0 * i + 10), z, "F", 0) for i, (d, t, z) in enumerate(lines)], SPANS)
@@ -70,45 +79,48 @@ def test_whole_plan(spark):
     assert [x.section_title for x in out.extracted_sections] == ["Cooking Basics For Home", "Gardens Of The World"] and len(out.subsection_analysis) == 2
 
 
-def plain_header(text, size, font, median):
-    import re
-
-    t = text.strip()
-    if len(t) < 3:
-        return False
-    bold = any(k in font.lower() for k in ("bold", "black", "heavy")) and 5 <= len(text) <= 150
-    return bool(size > median * 1.2 or bold or re.match(r"^\d+\.?\d*\.?\s+[A-Z]", t) or (t.isupper() and 5 <= len(t) <= 80) or (t.istitle() and 10 <= len(t) <= 100))
-
-
-def plain_sections(blocks):
-    sizes = sorted(b[2] for b in blocks if len(b[1]) > 3)
-    n = len(sizes)
-    median = 12.0 if not n else sizes[n // 2] if n % 2 else (sizes[n // 2 - 1] + sizes[n // 2]) / 2
-    out, title, content, page = [], "Introduction", [], blocks[0][4]
-    for _, text, size, font, p in blocks:
-        if plain_header(text, size, font, median):
-            if content:
-                out.append((title, " ".join(content), page, median))
-            title, content, page = text, [], p
-        else:
-            content.append(text)
-    if content:
-        out.append((title, " ".join(content), page, median))
-    return out
-
-
-def test_sections_against_fold(spark):
-    rng, docs = random.Random(8), {}
-    for d in range(80):
-        page, docs[d] = 1, []
-        for i in range(rng.randint(1, 12)):
-            page += rng.random() < 0.2
-            docs[d].append((i, rng.choice(["Plain words go on here.", "A Heading In Title Case", "SHOUTED", "1.2 Numbered", "ok", " x ", "it is"]), rng.choice([10.0, 10.0, 11.0, 15.0]), rng.choice(["F", "F", "F-Bold"]), page))
-    rows = [(d, i, t, p, None, z, n, None) for d, bs in docs.items() for i, t, z, n, p in bs]
-    got = {}
-    for x in s.sections(spark.createDataFrame(rows, SPANS)).orderBy("doc_id", "seq").collect():
-        got.setdefault(x.doc_id, []).append((x.section_title, x.content, x.page_number, x.median_font_size))
-    assert got == {d: w for d, bs in docs.items() if (w := plain_sections(bs))}
+#: Text, size and font of a span beside body text of size 10, and whether it opens a section.
+HEADERS = [
+    ("Plain words go on here.", 10.0, "F", False), ("Plain words go on here.", 13.0, "F", True), ("Plain words go on here.", 12.0, "F", False), ("Plain words go on here.", 10.0, "F-Bold", True), ("ok", 30.0, "F-Bold", False),
+    ("four", 10.0, "Heavy", False), ("x" * 151, 10.0, "F-Black", False), ("1.2 Numbered", 10.0, "F", True), ("1.2 numbered", 10.0, "F", False), ("7 Years", 10.0, "F", True), ("SHOUTED", 10.0, "F", True), ("LOUD", 10.0, "F", False),
+    ("A Heading In Title Case", 10.0, "F", True), ("A Heading in Title Case", 10.0, "F", False), ("Too Short", 10.0, "F", False), ("  SHOUTED  ", 10.0, "F", True), ("   ", 30.0, "F", False),
+]
+
+
+def test_headers_by_hand(spark):
+    rows = spark.createDataFrame([(i, t, z, n) for i, (t, z, n, _) in enumerate(HEADERS)], "i int, t string, z double, n string")
+    got = rows.select("i", is_header(F.col("t"), F.col("z"), F.col("n"), F.lit(10.0)).alias("h")).orderBy("i").collect()
+    assert [r.h for r in got] == [h for *_, h in HEADERS]
+
+
+def section_rows(spark, docs):
+    rows = [(d, i, t, p, None, z, "F", None) for d, spans in docs.items() for i, (t, z, p) in enumerate(spans)]
+    return [tuple(x) for x in s.sections(spark.createDataFrame(rows, SPANS)).select("doc_id", "section_title", "content", "page_number", "median_font_size").orderBy("doc_id", "seq").collect()]
+
+
+def test_sections_by_hand(spark):
+    got = section_rows(spark, {
+        1: [("before the first", 10.0, 1), ("Large", 20.0, 1), ("one two", 10.0, 1), ("three", 10.0, 2)],
+        2: [("Large", 20.0, 3), ("Larger", 30.0, 3), ("under the second", 10.0, 4), ("and on it", 10.0, 4), ("and more", 10.0, 4), ("Last", 40.0, 4)],
+        3: [("no", 9.0, 1)],
+        4: [("ALONE HERE", 10.0, 1)],
+    })
+    assert got == [(1, "Introduction", "before the first", 1, 10.0), (1, "Large", "one two three", 1, 10.0), (2, "Larger", "under the second and on it and more", 3, 15.0), (3, "Introduction", "no", 1, 12.0)]
+
+
+def test_sections_keep_every_span(spark):
+    """Each span is one section's title or in one section's content, and titles are headers."""
+    rng = random.Random(8)
+    docs = {d: [(f"w{d}x{i} " + rng.choice(["plain words", "Title Case Words Here", "of it"]), rng.choice([10.0, 10.0, 15.0]), 1 + i // 4) for i in range(rng.randint(1, 12))] for d in range(60)}
+    for d, title, content, page, median in section_rows(spark, docs):
+        sizes = sorted(z for _, z, _ in docs[d])
+        assert min(sizes) <= median <= max(sizes) and content and page in {p for *_, p in docs[d]}
+    for d, spans in docs.items():
+        told = " ".join(f"{t} {c}" for k, t, c, *_ in section_rows(spark, {d: spans})) if d < 6 else None
+        if told is not None:
+            marks = [t.split()[0] for t, *_ in spans]
+            body = [m for m in marks if m in told.split()]
+            assert body == sorted(body, key=marks.index) and len(set(told.split()) & set(marks)) == len(body)
 
 
 def test_header_of_no_font(spark):

@@ -1,4 +1,4 @@
-"""Layout, statistics, classes and outlines on fixtures, and against plain folds."""
+"""Layout, statistics, classes and outlines on fixtures, tables worked out by hand, and properties."""
 
 import itertools
 import random
@@ -47,32 +47,31 @@ def test_grouping(spark, a, b, joined):
         assert tuple(out[0].bbox) == (0, 0, 60, 22)
 
 
-def fold(rows):
-    """Groups by a fold over the sorted blocks."""
-    out, last = [], None
-    for r in sorted(rows, key=lambda r: (r[3], r[4][1], r[4][0], r[1])):
-        if last:
-            a, b = last[4], r[4]
-            close = b[0] - a[2] <= 10 if abs(b[1] - a[1]) <= 2 else 0 <= b[1] - a[3] <= 2 and min(b[2], a[2]) - max(b[0], a[0]) > 0
-        if last and r[3] == last[3] and abs(r[5] - last[5]) / max(r[5], last[5]) <= 0.1 and r[6:] == last[6:] and close:
-            out[-1].append(r[1])
-        else:
-            out.append([r[1]])
-        last = r
-    return out
-
-
-def test_grouping_against_fold(spark):
+def test_groups_restore_the_text(spark):
+    """Groups are runs of the reading order of one page, size class, font and flags, and their texts joined are the document."""
     rng, rows = random.Random(4), []
     for d in range(60):
         for i in range(rng.randint(1, 14)):
             x, y = rng.choice([0, 40, 55, 60]), rng.choice([0, 1, 2, 10, 11, 12, 24])
             rows.append((d, i, f"t{i}", rng.randint(1, 2), (float(x), float(y), x + 50.0, y + 10.0), rng.choice([10.0, 10.5, 12.0]), rng.choice("AAAB"), rng.choice([0, 0, 16])))
-    got = {}
-    for r in layout.grouped_blocks(spark.createDataFrame(rows, SPANS)).collect():
-        got.setdefault((r.doc_id, r.group_id), set()).add(r.seq)
-    want = [(d, k + 1, set(g)) for d in range(60) for k, g in enumerate(fold([r for r in rows if r[0] == d]))]
-    assert sorted((d, k, sorted(g)) for (d, k), g in got.items()) == sorted((d, k, sorted(g)) for d, k, g in want)
+    table = spark.createDataFrame(rows, SPANS)
+    placed = {(r.doc_id, r.seq): r.place for r in layout.sorted_blocks(table).collect()}
+    grouped = layout.grouped_blocks(table)
+    members = {}
+    for r in grouped.collect():
+        members.setdefault((r.doc_id, r.group_id), []).append(r)
+    for group in members.values():
+        places = sorted(placed[r.doc_id, r.seq] for r in group)
+        assert places == list(range(places[0], places[0] + len(places)))
+        assert len({(r.page_number, r.font_name, r.font_flags) for r in group}) == 1 and sum(r.gap == "" for r in group) == 1
+    for d in range(60):
+        numbers = sorted(k for e, k in members if e == d)
+        assert numbers == list(range(1, len(numbers) + 1))
+    texts = {}
+    for r in layout.merged_blocks(grouped).orderBy("doc_id", "seq").collect():
+        texts.setdefault(r.doc_id, []).extend(r.text.split())
+    assert texts == {d: [f"t{k}" for k in sorted((r[1] for r in rows if r[0] == d), key=lambda k: placed[d, k])] for d in range(60)}
+    assert any(len(g) > 1 for g in members.values())
 
 
 def test_validity_and_preprocessing(spark):
@@ -89,26 +88,37 @@ def test_repair(spark):
     assert [(r.seq, tuple(r.bbox), r.font_size, r.font_name, r.font_flags) for r in out] == [(0, (0, 0, 0, 0), 12.0, "unknown", 0), (2, (0, 0, 0, 0), 1.0, "f", 1)]
 
 
-def levels_fold(raw):
-    out, state = [], {"H1": False, "H2": False}
-    for x in raw:
-        if x == "title":
-            out.append(x)
-            continue
-        now = "H1" if x == "H1" else "H2" if x == "H2" and state["H1"] else "H1" if x == "H2" else "H3" if state["H2"] else "H2" if state["H1"] else "H1"
-        out.append(now)
-        if now in state:
-            state[now] = True
-    return out
+#: Levels as they come, and as an outline shows them.
+LEVELS = [
+    ("H1", "H1"), ("H2", "H1"), ("H3", "H1"), ("H1 H2 H3", "H1 H2 H3"), ("H1 H3", "H1 H2"), ("H1 H3 H3", "H1 H2 H3"), ("H2 H2", "H1 H2"), ("H2 H3 H3", "H1 H2 H3"), ("H3 H3 H3", "H1 H2 H3"), ("H3 H1 H3", "H1 H1 H2"),
+    ("H1 H2 H1 H3", "H1 H2 H1 H3"), ("title H3 H2", "title H1 H2"), ("H1 title H3", "H1 title H2"), ("title", "title"), ("H1 H1 H3 H2 H3", "H1 H1 H2 H2 H3"),
+]
 
 
-def test_progression(spark):
-    sequences = [s for n in range(1, 6) for s in itertools.product(("H1", "H2", "H3", "title"), repeat=n)]
-    rows = [(d, i, 1, f"{i:03d}", x) for d, s in enumerate(sequences) for i, x in enumerate(s)]
-    got = {}
+def progressed(spark, sequences):
+    rows = [(d, i, 1, f"{i:03d}", x) for d, levels in enumerate(sequences) for i, x in enumerate(levels)]
+    out = [[] for _ in sequences]
     for r in outline.progressed(spark.createDataFrame(rows, "doc_id long, seq int, page_number int, text string, level string")).orderBy("doc_id", "seq").collect():
-        got.setdefault(r.doc_id, []).append(r.level)
-    assert [got[d] for d in range(len(sequences))] == [levels_fold(s) for s in sequences]
+        out[r.doc_id].append(r.level)
+    return out
+
+
+def test_progression_by_hand(spark):
+    assert progressed(spark, [a.split() for a, _ in LEVELS]) == [b.split() for _, b in LEVELS]
+
+
+def test_progression_of_all_short_sequences(spark):
+    """No level is skipped, none goes deeper than it was, H1 and titles stay, and titles change nothing for the rest."""
+    sequences = [list(x) for n in range(1, 6) for x in itertools.product(("H1", "H2", "H3", "title"), repeat=n)]
+    got = dict(zip(map(tuple, sequences), progressed(spark, sequences), strict=True))
+    for raw, out in got.items():
+        deep = [(int(a[1]), int(b[1])) for a, b in zip(raw, out, strict=True) if a != "title"]
+        assert [b for a, b in zip(raw, out, strict=True) if a == "title"] == ["title"] * raw.count("title")
+        assert all(b <= a for a, b in deep) and all(b == 1 for a, b in deep if a == 1) and (not deep or deep[0][1] == 1)
+        shown = [b for _, b in deep]
+        assert all(2 in shown[:k] for k, b in enumerate(shown) if b == 3)
+        rest = tuple(a for a in raw if a != "title")
+        assert not rest or [b for b in out if b != "title"] == got[rest]
 
 
 CLASSED = "doc_id long, seq int, text string, predicted_class string, confidence double, page_number int, features struct<position_y:double>"
