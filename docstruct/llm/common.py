@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,7 +89,21 @@ def held_out(doc_id: str) -> Column:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *cols: Column | str) -> DataFrame:
     """``fn`` over the Arrow batches of ``cols`` alone, so that the scan reads nothing else."""
-    return df.select(*cols).mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.select(*cols).mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it outlives its task, and idle memory counts too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than GNU's
+        pass
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -17,11 +17,13 @@ holds more than two chunks and no pair is left out. Components over all bins com
 
 Documents whose sets of five-word shingles are alike to 0.8 differ in some ten bits, too many for bit blocks. For these
 (``deduplicate`` with ``shingle``) the bins are min-hash bands instead, of texts of equal shingle sets one row: 32 bands of 7
-rows, so that a pair of similarity 0.8 shares one with probability 0.9995, and a more similar one all the surer. Each member of
-a bin is held against the bin's smallest first; then, in bins that still hold more than one component, members of
-different components against each other. Pairs within a component are never made. The pivot tables discard with the radius ``WIDE``, and
-what survives is verified by its exact similarity. In a bin of many texts that are unlike each other but share the
-band all pairs are held against each other: n rows in a bin cost n * n / 2 comparisons, dealt out by chunks.
+rows, so that a pair of similarity 0.8 shares one with probability 0.9995, and a more similar one all the surer. A bin's
+center is the member that meets most others over all its bins, which is what the copies of a text have in common. Each
+text is held against the best of its centers first; then, in bins that still hold more than one component, members of
+different components are held against each other where they stand, each pair in the first bin that it shares. Pairs
+within a component are never made, and none leaves its task but a link. The pivot tables discard with the radius ``WIDE``,
+and what survives is verified by its exact similarity. In a bin of many texts that share the band but are not alike to
+0.8 all pairs are held against each other: n rows in a bin cost n * n / 2 comparisons, dealt out by chunks of ``FAR_ROWS``.
 
 Cases: null and empty texts have the fingerprint 0 and link like any other; texts of fewer than four words have one
 shingle, their whole sequence; repeated rows and ties share a fingerprint; a null identifier is no smallest identifier, and
@@ -46,26 +48,39 @@ SHINGLE, SEED, RADIUS, PIVOTS, BIN_ROWS = 4, 42, 4, 32, 20_000
 #: Min-hash bands of similar texts, and the bits in which fingerprints of their sets may differ: at similarity 0.8 these
 #: differ in 9.7 bits with a deviation of 2.9.
 BANDS, BAND_ROWS, WIDE = 32, 7, 24
+#: Members of a bin that a chunk holds, a member of more than ``FAR_BYTES`` of shingle hashes counting as several.
+FAR_ROWS, FAR_BYTES = 2_000, 8_192
+#: Keys of so many rows, some 40 bytes each, may be sent to every task; with more the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 _AT_ONCE = 1 << 16
 _PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("mark", pa.binary())])
 _SET = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("set", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SHOWN = pa.schema([("set", pa.binary()), ("h", pa.binary())])
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+#: ASCII white space and capitals become spaces and small letters.
+_PLAIN = bytes(32 if c in b"\t\n\x0b\f\r" else c for c in range(256)).lower()
+
+
 def shingle_hashes(text: bytes, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each ``n``-word shingle of the text in lower case (A-Z alone)."""
-    words = text.lower().split()
-    if not words:
+    """XXH64 of each ``n``-word shingle of the text in lower case (A-Z alone). Holds no object a word, however long the text."""
+    line = text.translate(_PLAIN).strip(b" ")
+    if not line:
         return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    if len(words) <= n:
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    if len(gaps) < n:
         return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-n].tolist()]
-    hashed = xxhash.xxh64_intdigest
-    return np.array([hashed(line[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    starts, ends = np.append(0, gaps + 1)[: len(gaps) + 2 - n], np.append(gaps, len(line))[n - 1 :]
+    out, hashed = np.empty(len(starts), np.uint64), xxhash.xxh64_intdigest
+    for i in range(0, len(out), _AT_ONCE):
+        a, b = starts[i : i + _AT_ONCE].tolist(), ends[i : i + _AT_ONCE].tolist()
+        out[i : i + _AT_ONCE] = np.fromiter((hashed(line[x:y], seed) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -210,11 +225,11 @@ def link_prints(prints: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROW
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``fp, label`` for every end of a link, the label being the component's smallest end.
+    """``fp, label`` for every end of a link but the smallest of its component, which is the label.
 
     Alternating star contractions: in the large step each node's larger neighbours, in the small step its smaller ones
-    and itself, move to its smallest neighbour. Rounds grow with the logarithm of a component's width, and each is cut to the
-    shared folder. Smallest neighbours come from a partial aggregate, so a node with many links is no group in one task.
+    and itself, move to its smallest neighbour. Rounds grow with the logarithm of a component's width, none are needed for
+    stars, and each is cut to the shared folder. Smallest neighbours come from a partial aggregate, so a node with many links is no group in one task.
     """
 
     def star(edges: DataFrame) -> DataFrame:
@@ -230,17 +245,20 @@ def components(links: DataFrame) -> DataFrame:
         return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not _are_stars(edges):
         edges, done = cut(small(star(edges))), edges
         release(done)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("fp"), F.col("b").alias("label"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one smaller end, which is none's larger end."""
+    own = edges.where("a <> b")
+    if own.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").head() is not None:
+        return False
+    return own.join(own.select(F.col("a").alias("b")), "b", "left_semi").head() is None
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """``BANDS`` hashes of ``BAND_ROWS`` min-hashes each, of a text's distinct shingle hashes."""
     factor = references(2 * BANDS * BAND_ROWS)
@@ -263,67 +281,81 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
     return arrow_map(docs, run, "doc_id long, mark binary, set binary, fp long, keys array<long>", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark(F.col(text_col)).alias("mark"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``a, b`` of which the sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of row keys, to be broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-    ``sets`` names one row, by identifier and mark, for each set; its shingles are hashed once.
-    """
-    shown = pa.schema([("set", pa.binary()), ("h", pa.binary())])
+
+def set_hashes(needed: DataFrame, sets: DataFrame, docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``set, h`` of the sets in ``needed``: their shingles' hashes, sorted, from one row of ``docs`` each. Written."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(shown, b.column(0), [np.unique(shingle_hashes(t, n)).tobytes() for t in texts(b.column(1))])
+            yield batch(_SHOWN, b.column(0), [np.unique(shingle_hashes(t, n)).tobytes() for t in texts(b.column(1))])
+
+    keys = cut(sets.join(needed.select("set").distinct(), "set").select("set", F.col("rep.doc_id").alias("i"), F.col("rep.mark").alias("m")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(sent(keys), rows["doc_id"].eqNullSafe(F.col("i")) & (rows["mark"] == F.col("m"))).select("set", "text")
+    return cut(arrow_map(found, hashes, "set binary, h binary", "set", "text").dropDuplicates(["set"]))
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of ``least`` or more."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The ``a, b`` of which the sets are alike; ``held`` as of :func:`set_hashes`. Written."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
-            for a, z, x, y in zip(*b.columns, strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= least * (len(x) + len(y) - both):
-                    kept.append((a.as_py(), z.as_py()))
+            kept = [(a.as_py(), z.as_py()) for a, z, x, y in zip(*b.columns, strict=True) if alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least)]
             if kept:
                 yield batch(_PAIR, *zip(*kept, strict=True))
 
-    needed = sets.join(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "set").select("set", F.col("rep.doc_id").alias("i"), F.col("rep.mark").alias("m"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(needed, rows["doc_id"].eqNullSafe(F.col("i")) & (rows["mark"] == F.col("m"))).select("set", "text").dropDuplicates(["set"])
-    held = cut(found.mapInArrow(hashes, "set binary, h binary"))
-    return cut(pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"))
+    rows = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    return cut(arrow_map(rows, confirm, "a binary, b binary", "a", "b", "x", "y"))
 
 
-def far_pairs(batches: Iterator[pa.RecordBatch], radius: int = WIDE, n_pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that the pivot table leaves, from rows sorted by bin: ``bin, set, fp, label, center``.
+def far_links(batches: Iterator[pa.RecordBatch], least: float, radius: int = WIDE, n_pivots: int = PIVOTS) -> Iterator[pa.RecordBatch]:
+    """Links of different components, from rows sorted by bin: ``bin, band, set, fp, label, keys, h``.
 
-    A bin's center has been held against all its members before. Keeps the batch and the bin that is not yet at its end.
+    ``band`` is the bin before it was dealt out; a pair is looked at only where it is the first of ``keys`` that both have.
+    Members that a link joins are one component from then on. Keeps the batch and the bin that is not yet at its end.
     """
     pivots = references(n_pivots)
 
-    def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, prints = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        label, center = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+    def links(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys = b.column(0).to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = np.flatnonzero(~center[lo:hi]) + lo
-            table = pivot_table(prints[own], pivots)
-            own, table = own[order := np.argsort(table[0], kind="stable")], table[:, order]
-            kept = []
-            for k in range(len(own) - 1):
-                end = int(np.searchsorted(table[0], table[0][k] + radius, side="right"))
-                near = np.arange(k + 1, end)
-                near = near[label[own[near]] != label[own[k]]]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            prints = b.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.argsort(pivot_table(prints, pivots[:1])[0], kind="stable")
+            own = b.slice(lo, hi - lo).take(pa.array(order))
+            prints, table = prints[order], pivot_table(prints[order], pivots)
+            names, label = own.column(2).to_pylist(), own.column(4).to_numpy(zero_copy_only=False).copy()
+            bands = own.column(5).combine_chunks().flatten() if isinstance(own.column(5), pa.ChunkedArray) else own.column(5).flatten()
+            bands = bands.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+            band, kept = own.column(1)[0].as_py(), []
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in own.column(6)]
+            for k in range(len(names) - 1):
+                near = np.arange(k + 1, int(np.searchsorted(table[0], table[0][k] + radius, side="right")))
+                near = near[label[near] != label[k]]
                 for row in table[1:]:
                     if not len(near):
                         break
                     near = near[np.abs(row[near] - row[k]) <= radius]
-                near = near[np.bitwise_count(prints[own[near]] ^ prints[own[k]]) <= radius]
-                kept += [(min(names[own[k]], names[own[j]]), max(names[own[k]], names[own[j]])) for j in near.tolist()]
-                if len(kept) > 1 << 15:
-                    yield batch(_PAIR, *zip(*kept, strict=True))
-                    kept = []
+                near = near[np.bitwise_count(prints[near] ^ prints[k]) <= radius]
+                if not len(near):
+                    continue
+                near = near[bands[k][(bands[near] == bands[k]).argmax(axis=1)] == band]
+                for j in near.tolist():
+                    if label[j] != label[k] and alike(sets[k], sets[j], least):
+                        kept.append((names[k], names[j]))
+                        label[label == label[j]] = label[k]
             if kept:
                 yield batch(_PAIR, *zip(*kept, strict=True))
 
@@ -336,10 +368,10 @@ def far_pairs(batches: Iterator[pa.RecordBatch], radius: int = WIDE, n_pivots: i
         keys = b.column(0).to_numpy(zero_copy_only=False)
         end = int(np.searchsorted(keys, keys[-1]))
         if end:
-            yield from pairs(b.slice(0, end))
+            yield from links(b.slice(0, end))
         rest = b.slice(end)
     if rest is not None:
-        yield from pairs(rest)
+        yield from links(rest)
 
 
 def dealt(rows: DataFrame, sizes: DataFrame, bin_rows: int, member: Column) -> DataFrame:
@@ -354,27 +386,36 @@ def dealt(rows: DataFrame, sizes: DataFrame, bin_rows: int, member: Column) -> D
     return rows.join(full, "bin", "left").select(F.explode(F.when(F.col("count").isNull(), F.array("bin")).otherwise(pairs)).alias("bin"), *others)
 
 
-def similar_labels(docs: DataFrame, rows: DataFrame, n: int, least: float, bin_rows: int = BIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_labels(docs: DataFrame, rows: DataFrame, n: int, least: float, bin_rows: int = FAR_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``name, label`` of the sets that similarity links to others; ``rows`` as of :func:`shingle_sets`."""
     sets = cut(rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    bands = sets.select("set", "fp", F.explode("keys").alias("bin"))
-    met = cut(bands.groupBy("bin").count().where("count > 1"))
-    bands = bands.join(met.select("bin"), "bin")
-    centers = cut(bands.groupBy("bin").agg(F.min(F.struct("set", "fp")).alias("c")))
-    bands = cut(bands.join(centers, "bin").select("bin", "set", "fp", F.col("c.set").alias("center"), F.col("c.fp").alias("center_fp")))
-    stars = bands.where((F.col("set") != F.col("center")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("center_fp"))) <= WIDE))
-    links = verified(cut(stars.select(F.col("set").alias("a"), F.col("center").alias("b")).distinct()), sets, docs, n, least, id_col, text_col)
+    every = sets.select("set", "fp", F.explode("keys").alias("bin"))
+    met = cut(every.groupBy("bin").count().where("count > 1"))
+    some = cut(every.join(met, "bin"))
+    meets = some.groupBy("set").agg(F.sum("count").alias("meets"))
+    # a bin's center is the member of most meetings, the smallest of equals
+    centers = cut(some.join(cut(meets), "set").groupBy("bin").agg(F.min(F.struct((-F.col("meets")).alias("m"), "set", "fp")).alias("c")))
+    stars = some.join(centers, "bin").where((F.col("set") != F.col("c.set")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= WIDE))
+    stars = cut(stars.groupBy("set").agg(F.min(F.struct("c.m", "c.set")).alias("c")).select(F.col("set").alias("a"), F.col("c.set").alias("b")))
+    held = set_hashes(stars.select(F.col("a").alias("set")).union(stars.select("b")), sets, docs, n, id_col, text_col)
+    links = verified(stars, held, least)
     labels = cut(components(links))
-    named = cut(bands.join(labels.toDF("set", "label"), "set", "left").select("bin", "set", "fp", F.xxhash64(F.coalesce("label", "set")).alias("label"), (F.col("set") == F.col("center")).alias("center")))
-    mixed = cut(named.groupBy("bin").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo <> hi and count > 2").select("bin", "count"))
-    if mixed.head() is None:
+    # bins of more than one component, and what their members need
+    named = cut(some.select("bin", "set", "fp").join(labels.toDF("set", "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+    release(some)
+    mixed = cut(named.groupBy("bin").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bin"))
+    open_ = cut(named.join(mixed, "bin").select("bin", F.col("bin").alias("band"), "set", "fp", F.xxhash64("label").alias("label")))
+    release(named)
+    if open_.head() is None:
         return labels
+    own = set_hashes(open_, sets, docs, n, id_col, text_col)
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("h") / FAR_BYTES))
+    sizes = open_.select("bin", "set").join(own.select("set", size.alias("size")), "set").groupBy("bin").agg(F.sum("size").alias("count"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = dealt(named.join(mixed.select("bin"), "bin"), mixed, bin_rows, F.col("set"))
-    pairs = cut(rest.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(far_pairs, "a binary, b binary").distinct())
-    if pairs.head() is None:
-        return labels
-    return cut(components(links.union(verified(pairs, sets, docs, n, least, id_col, text_col))))
+    ready = dealt(open_, sizes, bin_rows, F.col("set")).join(sets.select("set", "keys"), "set").join(own, "set").select("bin", "band", "set", "fp", "label", "keys", "h")
+    more = cut(ready.repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(lambda it: far_links(it, least), "a binary, b binary"))
+    release(open_)
+    return cut(components(links.union(more))) if more.head() is not None else labels
 
 
 def print_labels(prints: DataFrame, radius: int, bin_rows: int) -> DataFrame:
@@ -405,7 +446,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS,
         labels = cut(print_labels(cut(rows.select(F.col("name").alias("fp")).distinct()), radius, bin_rows).toDF("name", "label"))
     else:
         sets = cut(shingle_sets(docs, shingle, id_col, text_col))
-        labels = similar_labels(docs, sets, shingle, jaccard, bin_rows, id_col, text_col)
+        labels = similar_labels(docs, sets, shingle, jaccard, min(bin_rows, FAR_ROWS), id_col, text_col)
         labels, rows = labels.toDF("name", "label"), sets.select("doc_id", "mark", F.col("set").alias("name"))
     # a row for each text under each identifier, and the first of each component
     own = rows.groupBy("name", "doc_id", "mark").agg(F.count("*").alias("n")).join(labels, "name", "left").select("doc_id", "mark", "n", F.coalesce("label", "name").alias("label"))
@@ -416,9 +457,9 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS,
     aside, names = set_aside(docs)
     key_id, key_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     same = key_id.cast("long").eqNullSafe(F.col("_docstruct_id")) & (mark(key_text) == F.col("_docstruct_mark"))
-    kept = aside.join(told.drop("stays"), same, "left_anti")
+    kept = aside.join(sent(told.drop("stays")), same, "left_anti")
     repeated = told.where("stays").drop("stays")
     if repeated.head() is not None:
-        again = aside.join(repeated, same).groupBy("_docstruct_id", "_docstruct_mark").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("r"))
+        again = aside.join(sent(repeated), same).groupBy("_docstruct_id", "_docstruct_mark").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("r"))
         kept = kept.union(again.select("r.*"))
     return kept.toDF(*docs.columns)
