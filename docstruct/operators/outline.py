@@ -133,12 +133,13 @@ def failure_output(failures: DataFrame) -> DataFrame:
 
 
 def coded_failure_output(failures: DataFrame, at: Column) -> DataFrame:
-    """``path, kind, message, error_code, limit`` rows with ``title`` and a coded, stamped ``error``."""
+    """``path, kind, message, error_code, limit`` rows with ``title`` and a coded, stamped ``error``; a "stage" has neither."""
     name, path, kind, message = basename(F.col("path")), F.col("path"), F.col("kind"), F.col("message")
     code = lambda default: F.coalesce("error_code", F.lit(default))
-    title = F.when(kind == "pdf", F.concat(F.lit("Error: Failed to process "), name)).when(kind == "model", "Error: Model Loading Failed").when(kind == "output", "Error: Output Generation Failed").when(kind == "timeout", F.concat(F.lit("Error: Processing timeout for "), name)).otherwise("Error: Invalid Output Format")
+    title = F.when(kind.isin("pdf", "stage"), F.concat(F.lit("Error: Failed to process "), name)).when(kind == "model", "Error: Model Loading Failed").when(kind == "output", "Error: Output Generation Failed").when(kind == "timeout", F.concat(F.lit("Error: Processing timeout for "), name)).otherwise("Error: Invalid Output Format")
     error = (
         F.when(kind == "pdf", error_struct("PDFProcessingError", message, F.concat(F.lit("Failed to process PDF: "), path), code("PDF_PROCESSING_FAILED"), at))
+        .when(kind == "stage", error_struct("ProcessingError", message, F.concat(F.lit("Failed to process PDF: "), path)))
         .when(kind == "model", error_struct("ModelLoadingError", message, F.concat(F.lit("Failed to load model from: "), path), code("MODEL_LOADING_FAILED"), at))
         .when(kind == "output", error_struct("OutputGenerationError", message, "Failed to generate proper JSON output", code("OUTPUT_GENERATION_FAILED"), at))
         .when(kind == "timeout", error_struct("TimeoutError", F.concat(F.lit("Processing exceeded "), F.col("limit").cast("string"), F.lit(" second limit")), F.concat(F.lit("PDF processing timed out: "), path), F.lit("PROCESSING_TIMEOUT"), at, F.col("limit")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,18 +70,42 @@ def hashed_arrow(dim: int = SETTINGS.dim) -> Embedder:
     return run
 
 
-def transformer(path: str, batch_size: int = 32) -> Embedder:
-    """A sentence-transformers model at ``path``, one for each Python worker. Needs that library."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, DoubleType
+def batched(load: Callable[[], Callable[[list[str]], object]], dim: int, batch_size: int = 32) -> Embedder:
+    """An embedder of a function from texts to rows of ``dim`` numbers, loaded once in a Python worker.
 
-    def make():
+    A batch that fails, or gives other than a row of that length for each text, has zero vectors, and so has a null text.
+    """
+    import numpy as np
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), batch_size):
+                some = texts.iloc[at : at + batch_size]
+                try:
+                    rows = np.asarray(encode([t or "" for t in some]), np.float64)
+                    if rows.shape != (len(some), dim):
+                        raise ValueError("a vector for each text is needed")
+                except Exception:  # a batch's fault costs its own texts their likeness
+                    rows = np.zeros((len(some), dim))
+                rows[some.isna().to_numpy()] = 0
+                out += rows.tolist()
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def transformer(path: str, dim: int = SETTINGS.dim, batch_size: int = 32) -> Embedder:
+    """A sentence-transformers model at ``path``. Needs that library."""
+
+    def load() -> Callable[[list[str]], object]:
         from sentence_transformers import SentenceTransformer
 
-        model = SentenceTransformer(path, device="cpu")
-        return lambda texts: model.encode(list(texts), convert_to_numpy=True).astype("float64")
+        return SentenceTransformer(path, device="cpu").encode
 
-    return predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return batched(load, dim, batch_size)
 
 
 def rank_vectors(sections: DataFrame, queries: DataFrame) -> DataFrame:

@@ -220,6 +220,12 @@ _TO = text_only(strip("text"))
 _UNSURE = "mc IS NULL OR mf < 0.5::DOUBLE OR (mf >= 0.99::DOUBLE AND mc = 'title')"
 add("cls_cascade", f"""SELECT doc_id, seq, CASE WHEN {strip('text')} = '' THEN NULL WHEN k = 6 THEN {_TO[0]} WHEN {_UNSURE} THEN predicted_class ELSE mc END AS predicted_class, CASE WHEN {strip('text')} = '' THEN NULL WHEN k = 6 THEN {_TO[1]} WHEN {_UNSURE} THEN confidence ELSE mf END AS confidence
   FROM (SELECT *, CASE WHEN k = 0 THEN NULL WHEN k < 3 THEN 'title' WHEN k < 5 THEN 'h2' ELSE 'text' END AS mc, ([0.9, 0.995, 0.7, 0.3, 0.8, 0.5, 0.49])[k + 1]::DOUBLE AS mf FROM (SELECT *, (doc_id + seq) % 7 AS k FROM ruled))""", NUMBERS, featured("numbered", "feats"), ruled("feats", "ruled"))
+_LOGITS = "list_transform([3, 4, 5, 6, 7], lambda m: (n * m) % 11 / 2::DOUBLE)"
+add("cls_model", f"""SELECT doc_id, seq, mc AS model_class, round(mf, 6) AS model_confidence, n % 13 = 7 AS model_failed, CASE WHEN {strip('text')} = '' THEN NULL WHEN n % 13 = 7 THEN {_TO[0]} WHEN {_UNSURE} THEN predicted_class ELSE mc END AS predicted_class,
+    round(CASE WHEN {strip('text')} = '' THEN NULL WHEN n % 13 = 7 THEN {_TO[1]} WHEN {_UNSURE} THEN confidence ELSE mf END, 6) AS confidence
+  FROM (SELECT *, CASE WHEN n % 13 <> 7 THEN (['text', 'title', 'h1', 'h2', 'h3'])[list_position(z, list_max(z))] END AS mc, CASE WHEN n % 13 <> 7 THEN exp(list_max(z)) / list_sum(list_transform(z, lambda x: exp(x))) END AS mf
+    FROM (SELECT *, {_LOGITS} AS z FROM (SELECT *, length(text) AS n FROM ruled)))""", NUMBERS, featured("numbered", "feats"), ruled("feats", "ruled"))
+add("cls_levels", f"SELECT doc_id, seq, CASE WHEN {strip('text')} = '' THEN 'text' ELSE predicted_class END AS level FROM ruled", NUMBERS, featured("numbered", "feats"), ruled("feats", "ruled"))
 add("out_title", "SELECT doc_id, title FROM titles", FAKE)
 add("out_largest_font", "SELECT doc_id, arg_max(text, [ratio, -seq]) AS title FROM heads WHERE page_number = 1 GROUP BY doc_id", FAKE)
 add("out_filter_title", "SELECT doc_id, seq, level, text FROM rest", FAKE, REST)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docstruct.functions import features as f
 from docstruct.functions import rules, text
-from docstruct.operators import classify, collections, layout, outline, relevance, sections, stats
+from docstruct.operators import classify, collections, layout, model, outline, relevance, sections, stats
 from docstruct.plans.outline import classify_spans
 from docstruct.plans.outline import outline as whole_outline
 from docstruct.plans.relevance import document_sections
@@ -249,6 +249,31 @@ def cls_cascade(spark, d):
     return classify.classified(rows).select("doc_id", "seq", "predicted_class", "confidence")
 
 
+def _toy_model() -> model.Predict:
+    """Logits from the length of a text, in elevenths; one text in thirteen fails."""
+    import numpy as np
+
+    def predict(texts: list[str]) -> np.ndarray:
+        if any(len(t) % 13 == 7 for t in texts):
+            raise ValueError("no answer")
+        return np.array([[(len(t) * (j + 3)) % 11 / 2 for j in range(5)] for t in texts])
+
+    return predict
+
+
+@query
+def cls_model(spark, d):
+    rows = classify.with_features(numbered(spark, d), names=classify.RULE_FEATURES)
+    rows = classify.classified(model.with_model(rows, _toy_model, F.col("text")))
+    return rows.select("doc_id", "seq", "model_class", r6("model_confidence").alias("model_confidence"), "model_failed", "predicted_class", r6("confidence").alias("confidence"))
+
+
+@query
+def cls_levels(spark, d):
+    rows = classify.with_features(numbered(spark, d), names=classify.RULE_FEATURES)
+    return model.heading_levels(classify.classified(rows.withColumns({"model_class": F.lit(None).cast("string"), "model_confidence": F.lit(None).cast("double"), "model_failed": F.lit(False)})))
+
+
 # outline
 
 

@@ -18,7 +18,8 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def write_documents(rows: DataFrame, name: Column, value: Column, out: str, indent: int = 2) -> DataFrame:
     """Write each JSON string to ``out/<name>.json``, indented, without escapes; ``name, bytes, error`` of each.
 
-    A file appears whole: it is written under another name and then moved. The folder must be one that executors share.
+    A file appears whole: it is written under another name, looked at and then moved. A name may hold folders. The folder
+    must be one that executors share.
     """
     schema = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
 
@@ -32,9 +33,12 @@ def write_documents(rows: DataFrame, name: Column, value: Column, out: str, inde
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     data = json.dumps(json.loads(text), indent=indent, ensure_ascii=False).encode()
-                    part = f"{base}/.{uuid.uuid4().hex}"
+                    part = f"{base}/{key}".rpartition("/")[0] + f"/.{uuid.uuid4().hex}"
+                    to.create_dir(part.rpartition("/")[0], recursive=True)
                     with to.open_output_stream(part) as sink:
                         sink.write(data)
+                    if to.get_file_info(part).size != len(data):
+                        raise OSError("the written file is not whole")
                     to.move(part, f"{base}/{key}.json")
                     done.append((key, len(data), None))
                 except (OSError, ValueError, TypeError) as e:
@@ -50,5 +54,6 @@ def write_outlines(outlines: DataFrame, path: str) -> None:
     outlines.write.mode("overwrite").json(path)
 
 
-def relevance_json(outputs: DataFrame) -> Column:
+def relevance_json() -> Column:
+    """The JSON of a row of ``collection_output``."""
     return F.to_json(F.struct("metadata", "extracted_sections", "subsection_analysis"))
