@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import WS_CHARS, words
+from docstruct.functions.text import WS_CHARS, strip, words
 
 UPPER, LOWER, CASED, LETTER = r"[\p{Lu}\p{IsUppercase}]", r"[\p{Ll}\p{IsLowercase}]", r"[\p{Lu}\p{Ll}\p{Lt}]", r"\p{L}"
 # Words that stay lower-case in titles, and signs of a heading in font names.
@@ -18,11 +18,30 @@ def ratio(n: Column, d: Column, default: float = 0.0) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(default))
 
 
-def rare(c: Column, members: str) -> Column:
-    """Number of characters of a class that few are of: the length without runs of others."""
+# ASCII without white space, without digits and without capitals: what a regular expression passes over quickest.
+NO_BLANK, NO_DIGIT, NO_CAPITAL = "!-~", r"\x00-/:-\x7f", r"\x00-@\[-\x7f"
+
+
+def rare(c: Column, members: str, never: str | None = None) -> Column:
+    """Number of characters of a class that few are of: the length without runs of others.
+
+    ``never`` are characters out of the class that go first, so that the class is asked of few.
+    """
+    if never:
+        c = F.regexp_replace(c, f"[{never}]+", "")
     return F.length(F.regexp_replace(c, f"[^{members}]+", ""))
 
 
+def unspaced(c: Column) -> Column:
+    """A text without plain spaces, whose letters stand in longer runs."""
+    return F.replace(c, F.lit(" "), F.lit(""))
+
+
+def other_blanks(c: Column) -> Column:
+    """Number of white space characters that are no plain spaces."""
+    return rare(unspaced(c), WS_CHARS, NO_BLANK)
+
+
 def common(c: Column, members: str) -> Column:
     """The same for a class that most are of: what its runs leave is not of it."""
     return F.length(c) - F.length(F.regexp_replace(c, f"[{members}]+", ""))
@@ -89,16 +108,16 @@ def whitespace_below(y1: Column, top: Column, height: Column) -> Column:
 
 def capitalization(c: Column) -> Column:
     """Upper-case letters of those that have case."""
-    return ratio(rare(c, r"\p{Lu}").cast("double"), common(c, r"\p{Lu}\p{Ll}\p{Lt}"))
+    return ratio(rare(c, r"\p{Lu}", NO_CAPITAL).cast("double"), common(unspaced(c), r"a-zA-Z\p{Lu}\p{Ll}\p{Lt}"))
 
 
 def capitalization_basic(c: Column) -> Column:
     """Upper-case letters of all letters, those without case too."""
-    return ratio(rare(c, r"\p{Lu}").cast("double"), common(c, r"\p{L}"))
+    return ratio(rare(c, r"\p{Lu}", NO_CAPITAL).cast("double"), common(unspaced(c), r"a-zA-Z\p{L}"))
 
 
 def whitespace_ratio(c: Column) -> Column:
-    return share(c, WS_CHARS)
+    return ratio((F.length(c) - F.length(unspaced(c)) + other_blanks(c)).cast("double"), F.length(c))
 
 
 def punctuation_density(c: Column) -> Column:
@@ -106,7 +125,7 @@ def punctuation_density(c: Column) -> Column:
 
 
 def numeric_ratio(c: Column) -> Column:
-    return share(c, r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨")
+    return ratio(rare(c, r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨", NO_DIGIT).cast("double"), F.length(c))
 
 
 def special_ratio(c: Column) -> Column:
@@ -114,7 +133,10 @@ def special_ratio(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    """Words between white space; counted by spaces where each stands alone and no other white space is there."""
+    t = strip(c)
+    plain = (other_blanks(t) == 0) & ~t.contains("  ")
+    return F.when(t == "", F.lit(0)).when(plain, F.length(t) - F.length(unspaced(t)) + 1).otherwise(F.size(words(t)))
 
 
 def sentence_count(c: Column) -> Column:

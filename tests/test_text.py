@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -127,3 +128,10 @@ def test_paths_and_cuts(spark):
     assert column(spark, ["/a/b.pdf", "x"], text.basename) == ["b.pdf", "x"]
     assert column(spark, ["  ", "a", None], lambda c: text.query_text(c, F.lit(" "))) == [None, "a", None]
     assert column(spark, ["abc"], lambda c: text.section_text(c, F.lit("defgh"), 7)) == ["abc. de..."]
+
+
+def test_words_and_blanks_are_counted_alike_by_both_ways(spark):
+    texts = ["", " ", "one", "a b c", "a  b", " a b ", "a\tb", "a \n b", "\u2003é\u00a0b", "Ünï 1२ ²b", "a\x85b\u3000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("t", f.word_count(F.col("t")), f.whitespace_ratio(F.col("t"))).collect()}
+    assert got == {t: (len(t.split()), pytest.approx(sum(c.isspace() for c in t) / len(t) if t else 0.0)) for t in texts}
