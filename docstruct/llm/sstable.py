@@ -38,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import attempt_name, batch, fresh_dir, open_fs
+from docstruct.llm.common import attempt_name, batch, fresh_dir, give_back, open_fs
 
 MAGIC = b"DSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQIIQ8sQ")
 BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_PROBES = 64 << 10, 16, 10, 7
+#: Text that is encoded at once: less takes less memory and looks common words up more often.
+SLICE_BYTES = 4 << 20
 #: Before a space that a printing character follows the byte-level pre-tokenizer always starts a new piece; this finds others.
 _UNSAFE = r" ([^!-~\x{A1}-\x{24F}]|\z)"
 #: Letters, then ASCII punctuation without the apostrophe: two pieces for that pre-tokenizer.
@@ -77,20 +79,20 @@ class Encoder:
         self.dtype = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a space
-        self.limit, self.at_once, self.words = limit, at_once, {}
+        self.limit, self.at_once, self.words, self.older = limit, at_once, {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.limit:
-            self.words.clear()
+        if len(self.words) > self.limit // 2:  # words met since the last turn stay
+            self.older, self.words = self.words, {}
         plain = [w for w in words if "!" <= w[:1] <= "~" or "\xa1" <= w[:1] <= "\u024f"]
         if len(plain) < len(words):
             other = [w for w in words if not ("!" <= w[:1] <= "~" or "\xa1" <= w[:1] <= "\u024f")]
             self.words.update(zip(other, self.whole([" " + w for w in other]), strict=True))
         lines = [" " + " ".join(plain[i : i + self.at_once]) for i in range(0, len(plain), self.at_once)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        for k, e in enumerate(e for i in range(0, len(lines), 100) for e in self.tokenizer.encode_batch_fast(lines[i : i + 100], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
             cuts = (np.flatnonzero(self.opens[ids]) * ids.itemsize).tolist() + [ids.nbytes]
             data = ids.tobytes()
@@ -100,8 +102,14 @@ class Encoder:
         """Ids of each word, a space before it."""
         found = list(map(self.words.get, words))
         if None in found:
-            fresh = [i for i, x in enumerate(found) if x is None]
-            self._learn([words[i] for i in fresh])
+            fresh = []
+            for i in [i for i, x in enumerate(found) if x is None]:
+                if (x := self.older.get(words[i])) is None:
+                    fresh.append(i)
+                else:
+                    found[i] = self.words[words[i]] = x
+            if fresh:
+                self._learn([words[i] for i in fresh])
             for i in fresh:
                 found[i] = self.words[words[i]]
         return found
@@ -318,7 +326,7 @@ class Reader:
             yield from self._entries(self._block(i))
 
 
-def parts_of(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(b: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``size`` bytes of text, or of one row."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), 0
     while at < len(ends):
@@ -328,13 +336,21 @@ def parts_of(b: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]
         at = to
 
 
+def encoded(enc: Encoder, batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Identifier and ids of each row; what a batch took goes back to the system before the next."""
+    for b in batches:
+        for part in parts_of(b, slice_bytes):
+            yield from zip(part.column(0).to_pylist(), enc.encode(part.column(1).fill_null("")), strict=True)
+        give_back()
+
+
 MANIFEST = "shard int, path string, docs long, ids long, bytes long, first_key binary, last_key binary"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Write ``docs`` as shards below ``out`` and return the manifest, a row for each shard in key order.
 
     One shuffle by range of (identifier, hash of text). The shard count follows spark.sql.shuffle.partitions and AQE.
@@ -346,13 +362,12 @@ def write_shards(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
         to, base = open_fs(out)
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
-        for part in (p for b in batches for p in parts_of(b)):
+        for doc_id, ids in encoded(enc, batches, slice_bytes):
             if made is None:
                 to.create_dir(base, recursive=True)
                 sink = to.open_output_stream(f"{base}/{name}", compression=None)
                 made = Writer(sink, enc.dtype)
-            for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).fill_null("")), strict=True):
-                made.add(key_of(doc_id), ids.tobytes() + end)
+            made.add(key_of(doc_id), ids.tobytes() + end)
         if made is not None:
             size = made.finish()
             sink.close()
@@ -392,9 +407,9 @@ def read_digests(spark: SparkSession, out: str, shards: int) -> DataFrame:
     return manifest(spark, out).select("path", "start").repartition(max(1, shards)).mapInArrow(read, DIGEST)
 
 
-def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out: str | None = None) -> DataFrame:
+def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Write ``docs`` to shards (below the shared folder unless ``out`` is given) and read their digests back."""
     spark = docs.sparkSession
     out = out or fresh_dir(spark, "sst")
-    write_shards(docs, out, tokenizer_path, end_id)
+    write_shards(docs, out, tokenizer_path, end_id, slice_bytes=slice_bytes)
     return read_digests(spark, out, spark.read.parquet(f"{out}/manifest").count())
