@@ -63,6 +63,14 @@ def test_against_python(spark, values):
     assert column(spark, values, text.words) == [v.split() for v in values]
 
 
+def test_lines_end_at_newlines_alone(spark):
+    """Java's multi-line mode also starts lines after carriage returns and U+0085, U+2028, U+2029, unless it is told not to."""
+    values = ["•\x85•", "•\x85\x85•", "a\r1) b", "a\x851.b", "a\u20281) b", "a\u20292.b", "a\r\n1) b", "a\n1) b\n•c"]
+    assert column(spark, values, text.special_cases) == [plain_special(v) for v in values]
+    kept = column(spark, ["2) x\u20281.1 y", "1.1 y"], lambda c: text.normalize(c, keep_multilevel_numbering=True))
+    assert kept == ["2. x\u20281.1 y", "1.1 y"]
+
+
 def plain_sentences(t):
     out = []
     for s in re.split(r"[.!?]+\s+(?=[A-Z])", t):
