@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from docstruct.operators import classify, layout, outline, stats
 from docstruct.plans.outline import outline as whole
 from docstruct.plans.outline import outline_json
+from docstruct.plans.queries import QUERIES
 from docstruct.schema import SPANS
+from tests.conftest import SMALL
 
 
 def spans(spark, rows):
@@ -171,3 +173,9 @@ def test_salvage_and_keys(spark):
 def test_plan_has_one_exchange(spark):
     plan = whole(spans(spark, PAGE))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["cls_title_rule"])
+def test_features_that_nothing_reads_are_not_computed(spark, name):
+    """The case scores cost most of all features; both count words by regular expressions."""
+    assert "regexp_extract_all" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
