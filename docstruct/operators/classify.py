@@ -47,8 +47,9 @@ def basic_features(blocks: DataFrame) -> DataFrame:
 
 #: What the rules and the outline read of the features.
 RULE_FEATURES = ("font_size_ratio", "is_bold", "position_y", "text_length")
-#: What the title rule reads.
+#: What the title rule and the hints read.
 TITLE_FEATURES = ("font_size_ratio", "position_x", "position_y", "text_length", "capitalization_score")
+HINT_FEATURES = ("font_size_ratio", "is_bold", "is_italic", "position_y", "text_length", "capitalization_score")
 
 
 def with_features(blocks: DataFrame, settings: Settings = SETTINGS, names: tuple[str, ...] | None = None) -> DataFrame:

@@ -175,7 +175,7 @@ def test_plan_has_one_exchange(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["cls_title_rule"])
+@pytest.mark.parametrize("name", ["cls_title_rule", "fea_hints"])
 def test_features_that_nothing_reads_are_not_computed(spark, name):
     """The case scores cost most of all features; both count words by regular expressions."""
     assert "regexp_extract_all" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
