@@ -1,6 +1,7 @@
 """Text functions on fixture cases, and against plain Python."""
 
 import re
+import time
 import unicodedata
 
 import pytest
@@ -143,3 +144,11 @@ def test_words_and_blanks_are_counted_alike_by_both_ways(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     got = {r[0]: (r[1], r[2]) for r in df.select("t", f.word_count(F.col("t")), f.whitespace_ratio(F.col("t"))).collect()}
     assert got == {t: (len(t.split()), pytest.approx(sum(c.isspace() for c in t) / len(t) if t else 0.0)) for t in texts}
+
+
+def test_case_scores_take_linear_time(spark):
+    """A long word of letters before a comma, in which a search for a lower-case letter could start over at each place."""
+    column(spark, ["Warm up"], f.title_case_score)
+    began = time.monotonic()
+    assert column(spark, ["a" * 200_000 + ","], f.title_case_score) == [0.0]
+    assert time.monotonic() - began < 5
