@@ -152,3 +152,10 @@ def test_case_scores_take_linear_time(spark):
     began = time.monotonic()
     assert column(spark, ["a" * 200_000 + ","], f.title_case_score) == [0.0]
     assert time.monotonic() - began < 5
+
+
+def test_normal_form_c_without_python(spark):
+    values = [chr(c) + m for c in (*range(0x20, 0x250), 0x41F, 0x915, 0x1100, 0x3046) for m in ("", "́", "̣̇", "̈́", "़", "ᅡ", "゙")] + ["Å", "ﬁ", "\U0001d15e", "", None]
+    assert column(spark, values, text.nfc) == [v and unicodedata.normalize("NFC", v) for v in values]
+    df = spark.createDataFrame([("é",)], "t string").select(text.nfc(F.col("t")).alias("t")).where("t > ''")
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
