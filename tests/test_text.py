@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docstruct.functions import features as f
 from docstruct.functions import rules, text
+from tests.conftest import SMALL
 
 NORMALIZED = [
     ("  Hello   World  ", "Hello World"), ("Line 1\nLine 2\n\nParagraph 2", "Line 1 Line 2\n\nParagraph 2"), ("Hello!!!!! World???", "Hello!!! World???"), ("Hello,, World--", "Hello, World-"),
@@ -159,3 +160,9 @@ def test_normal_form_c_without_python(spark):
     assert column(spark, values, text.nfc) == [v and unicodedata.normalize("NFC", v) for v in values]
     df = spark.createDataFrame([("é",)], "t string").select(text.nfc(F.col("t")).alias("t")).where("t > ''")
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoding_is_normalised_without_python(spark):
+    from docstruct.plans.queries import QUERIES
+
+    assert "Python" not in QUERIES["txt_collapse_ws"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
