@@ -140,3 +140,17 @@ def test_collections_and_status(spark):
 
 def test_limits():
     assert (SETTINGS.top_sections, SETTINGS.max_sentences, SETTINGS.top_sentences, SETTINGS.section_chars, SETTINGS.query_chars) == (10, 100, 10, 5000, 1000)
+
+
+def test_embedder_memory_is_bounded():
+    """Words that never come again are not kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(300)])
+    tracemalloc.start()
+    out = list(r.hashed_arrow(16).func(iter([texts, pa.array([], pa.string())])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in out] == [300, 0] and peak < 8_000_000
